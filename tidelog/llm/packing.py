@@ -122,12 +122,12 @@ def pack(docs: DataFrame, limit: int = LIMIT, text: str = "text", id_col: str =
     drop(spark, cut_path)
     settled: list[DataFrame] = []
     for r in range(1, rounds + 1):
-        # a group hands over the unfilled sequences if it is above its bound, else the emptiest one only
-        rows = done.withColumn("open", (F.col("fill") < limit) & ((F.col("bins") > F.col("bound")) | (F.col("fill") < limit // 2) | F.lit(groups > 1) & (F.col("fill") < limit - limit // 16)))
+        # a group above its bound hands over every unfilled sequence, any other the clearly unfilled ones
+        rows = done.withColumn("open", (F.col("fill") < limit) & ((F.col("bins") > F.col("bound")) | (F.col("fill") < limit - limit // 16)))
         state = rows.agg(F.count_if("open").alias("n"), F.sum(F.when(F.col("open"), F.col("length"))).alias("t"), F.count_distinct(F.when(F.col("open"), F.struct("grp", "bin"))).alias("b")).first()
         if not state.n or state.b <= -(-state.t // limit):
             break
-        new_groups, base = max(1, -(-state.n // (group * 2))), shift + groups
+        new_groups, base = max(1, -(-state.n // (group * 4))), shift + groups
         cols = [c.split()[0] for c in f"{PIECES}, key long".split(", ")]
         again, again_path = stored(_deal(rows.where("open").select(*cols), new_groups, r, limit, base), "exchange")
         after = again.agg(F.count_distinct(F.struct("grp", "bin")).alias("b")).first().b
