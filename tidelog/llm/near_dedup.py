@@ -354,7 +354,8 @@ def _found(docs: DataFrame, threshold: float, text: str, id_col: str) -> tuple[D
     sk, sk_path = stored(sketches(texts).dropDuplicates(["uid"]), "sketches")
     pairs, pairs_path = stored(candidates(sk), "pairs")
     used = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
-    sets, sets_path = stored(shingle_sets(texts.join(used, "uid", "left_semi")).dropDuplicates(["uid"]), "sets")
+    # the used texts grow with the corpus: the same shuffled join at every size
+    sets, sets_path = stored(shingle_sets(texts.join(used.hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"]), "sets")
     links, links_path = stored(verified(pairs, sets, threshold), "links")
     drop(spark, sk_path, pairs_path, sets_path)
     root = components(links)
