@@ -266,7 +266,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(sk: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Distinct likely pairs (x < y) of rows of ``sk`` that share a bucket."""
-    members = sk.select("uid", F.explode("bands").alias("b")).distinct()
+    members = sk.select("uid", F.explode("bands").alias("b"))
     found: list[DataFrame] = []
     level, stuck = 0, False
     while True:
