@@ -110,8 +110,13 @@ def passes(policy: str | tuple[str, ...], bits: Column | str = "_q_bits") -> Col
 
 
 def apply_policy(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    return ledger(docs, text).where(passes(policy)).select(*docs.columns)
+    """The rows of ``docs`` that pass, with their own columns only.
+
+    A plain filter would be pushed below the measuring projections, which copies their expressions
+    into it many times over; a generator stays above them.
+    """
+    kept = F.explode(F.when(passes(policy), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))).alias("_q_kept")
+    return ledger(docs, text).select(*docs.columns, kept).select(*docs.columns)
 
 
 def ablation(led: DataFrame, policy: str = "v1", bits: str = "_q_bits") -> DataFrame:
