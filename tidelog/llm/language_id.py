@@ -31,8 +31,7 @@ SPACE = 32
 def codes(text: str) -> np.ndarray:
     """Lower-cased code points with each run of other characters folded to one space, a space at each end."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _letters()
-    c = np.where(table[np.minimum(c, len(table) - 1)], c, SPACE)
+    c = np.where(_letters()[c], c, SPACE)
     c = np.concatenate(([SPACE], c, [SPACE])).astype(np.uint32)
     return c[np.concatenate(([True], (c[1:] != SPACE) | (c[:-1] != SPACE)))]
 
@@ -43,8 +42,7 @@ _table: np.ndarray | None = None
 def _letters() -> np.ndarray:
     global _table
     if _table is None:
-        _table = np.array([chr(i).isalpha() for i in range(0x30000)], bool)
-        _table[-1] = True
+        _table = np.array([chr(i).isalpha() for i in range(0x110000)], bool)
     return _table
 
 

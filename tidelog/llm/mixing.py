@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import drop, stored
 
@@ -102,22 +103,25 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return train([(r.text, r.domain) for r in got])
 
 
-def memberships(docs: DataFrame, model: Classifier, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, tokens, p array<double>): words and domain posterior of every whole text."""
+def memberships(docs: DataFrame, model: Classifier, text: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """Columns ``carry`` with ``<prefix>tokens`` and ``<prefix>p`` (array<double>): words and domain posterior of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            n, p = [], []
-            for t in b.column(1):
+            count, p = [], []
+            for t in b.column(n):
                 words = (t.as_py() or "").lower().split()
-                n.append(len(words))
+                count.append(len(words))
                 p.append(m.posterior(words))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], [id_col, "tokens", "p"])
+            made = [pa.array(count, pa.int64()), pa.array(p, pa.list_(pa.float64()))]
+            yield pa.record_batch([*b.columns[:n], *made], [*b.schema.names[:n], f"{prefix}tokens", f"{prefix}p"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` {kind}, tokens long, p array<double>")
+    kept = docs.select(*carry)
+    schema = StructType([*kept.schema.fields, StructField(f"{prefix}tokens", LongType()), StructField(f"{prefix}p", ArrayType(DoubleType()))])
+    return docs.select(*carry, F.col(text).cast("string").alias("_m_text")).mapInArrow(run, schema)
 
 
 def rate_column(history: list[list[float]], p: str = "p") -> Column:
@@ -166,12 +170,19 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=D
     return history, (error / np.maximum(share, 1e-12)).tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, model: Classifier | None = None) -> tuple[DataFrame, list[float]]:
-    """(doc_id, tokens, p, rate) for every row of ``docs``, and the relative errors per domain."""
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, model: Classifier | None = None, carry: tuple[str, ...] = ("doc_id",), prefix: str = ""
+) -> tuple[DataFrame, list[float]]:
+    """For every row of ``docs`` its columns ``carry``, and tokens, p and rate named with ``prefix``; and the relative errors per domain.
+
+    What goes with a row is carried through the scoring, not joined back, so null and repeated ids keep
+    their own rows.
+    """
     model = model or fit_classifier(docs, labels)
-    members, _ = stored(memberships(docs, model), "members")
-    history, error = fit_rates(members, targets, model.domains)
-    return members.withColumn("rate", F.when(F.col("tokens") > 0, rate_column(history)).otherwise(F.lit(1.0))), error
+    members, _ = stored(memberships(docs, model, carry=carry, prefix=prefix), "members")
+    tokens, p = F.col(f"{prefix}tokens"), F.col(f"{prefix}p")
+    history, error = fit_rates(members.select(tokens.alias("tokens"), p.alias("p")), targets, model.domains)
+    return members.withColumn(f"{prefix}rate", F.when(tokens > 0, rate_column(history, f"{prefix}p")).otherwise(F.lit(1.0))), error
 
 
 def copies(rate: Column, key: Column) -> Column:

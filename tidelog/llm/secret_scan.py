@@ -47,7 +47,9 @@ def default_samples(spark: SparkSession) -> DataFrame:
         w = [_STEMS[(i * k + j) % len(_STEMS)] for j, k in enumerate((1, 7, 13, 29))]
         year = f"{2000 + i % 30}"
         rows += [("_".join(w), False), ("".join(x.title() for x in w), False), ("-".join([*w[:3], year]), False), ("/".join(w), False), ("".join(w), False)]
-    return spark.createDataFrame(rows, "text string, random boolean")
+    of = lambda kind: F.split(F.lit(" ".join(t for t, random in rows if random == kind)), " ")  # noqa: E731  samples hold no space
+    one = lambda kind: spark.range(1).select(F.explode(of(kind)).alias("text"), F.lit(kind).alias("random"))
+    return one(True).unionByName(one(False))
 
 
 def train(samples: DataFrame) -> list[float]:
