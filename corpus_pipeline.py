@@ -33,13 +33,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in whole copies whose expectation is their rate; one likely clean keeps at least one copy."""
-    got, _ = mixing.mix(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), TARGETS)
-    clean = F.col("p")[mixing.DOMAINS.index("clean")] >= 0.5
-    n = F.when(clean, F.greatest(mixing.copies(F.col("rate"), F.col("doc_id")), F.lit(1))).otherwise(mixing.copies(F.col("rate"), F.col("doc_id")))
-    times = got.select(F.col("doc_id").alias("_d"), n.alias("_n")).where("_n > 0")
-    # ids are those of rows that the stages before have made distinct
-    joined = docs.join(times, docs["doc_id"] == F.col("_d"))
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    got, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, carry=tuple(docs.columns), prefix="_m_")
+    n = mixing.copies(F.col("_m_rate"), F.col("doc_id"))
+    n = F.when(F.col("_m_p")[mixing.DOMAINS.index("clean")] >= 0.5, F.greatest(n, F.lit(1))).otherwise(n)
+    return got.withColumn("_m_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
