@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .tokens import default_path, encoder
 
-WIDE = 1024
+WIDE = 64
 
 
 def lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
