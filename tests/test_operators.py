@@ -120,3 +120,19 @@ def test_empty_log(spark):
     e = kv(spark, [])
     assert reads.latest(e).count() == 0 and reads.range_scan(e, "a", "z").count() == 0 and storage.gc_safe(e, 5).count() == 0
     assert storage.flush_segments(e, 10).count() == 0
+
+
+def test_ranks_and_neighbours_across_ranges(spark):
+    keys = [f"key_{i}" for i in range(1, 60)]
+    rows = spark.createDataFrame([(k,) for k in reversed(keys)], "key string").repartition(7)
+    assert {r.key: r.n for r in reads.ranked(rows, [nkey("key")], "n").collect()} == {k: i + 1 for i, k in enumerate(keys)}
+    got = {r.key: (r.prev_key, r.next_key) for r in reads.neighbors(rows, width=5).collect()}
+    assert got == {k: (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)}
+    assert reads.ranked(rows.limit(0), [nkey("key")], "n").count() == 0
+
+
+def test_global_conflicts_across_ranges(spark):
+    ops = spark.createDataFrame([(t, t * 10, f"k{t}", "W", "v") for t in range(1, 40)], "txn_id long, seq long, key string, op string, value string")
+    txns = spark.createDataFrame([(t, t * 10 - 7 * (t % 5), t * 10 + 5, 3) for t in range(1, 40)], "txn_id long, begin_seq long, commit_seq long, lvl int")
+    one = sorted(map(tuple, transactions.ww_conflicts_global(ops, txns).collect()))
+    assert one and sorted(map(tuple, transactions.ww_conflicts_global(ops, txns, width=15).collect())) == one

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import natural_order, nkey
+from ..scratch import stored
 
 
 def newest(kv: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -59,9 +60,8 @@ def prefix_range_literal(kv: DataFrame, prefix: str, as_of: int | None = None) -
 
 def pages(kv: DataFrame, start: str, end: str, size: int, as_of: int | None = None) -> DataFrame:
     """R8 over the whole range: page number of each row."""
-    rows = latest(between(kv, start, end), as_of)
-    n = F.row_number().over(Window.orderBy(*natural_order()))
-    return rows.withColumn("page", F.floor((n - 1) / size).cast("long"))
+    rows = ranked(latest(between(kv, start, end), as_of), natural_order(), "_n")
+    return rows.withColumn("page", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def page(kv: DataFrame, start: str, end: str, size: int, token: str | None = None, as_of: int | None = None) -> DataFrame:
@@ -113,10 +113,31 @@ def snapshot_diff(kv: DataFrame, a: int, b: int) -> DataFrame:
     return g.where("x is not null or y is not null").select("key", F.col("x.value").alias("old_value"), F.col("y.value").alias("new_value"), change.alias("change"))
 
 
-def neighbors(rows: DataFrame) -> DataFrame:
-    """Previous and next key in natural order."""
-    w = Window.orderBy(*natural_order())
-    return rows.withColumns({"prev_key": F.lag("key").over(w), "next_key": F.lead("key").over(w)})
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Consecutive numbers from 1 in any order, without one task holding all rows.
+
+    The sorted rows are written with their place in their range; the ranges' counts, one row each,
+    are added up. Ties of ``order`` are numbered as the sort leaves them.
+    """
+    at, _ = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    at = at.withColumn("_p", F.shiftrightunsigned("_at", 33))
+    sizes = at.groupBy("_p").count()
+    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    place = F.col("_at") - F.shiftleft("_p", 33) + F.col("_b") + 1
+    return at.join(before, "_p").withColumn(name, place.cast("long")).drop("_at", "_p", "_b")
+
+
+def neighbors(rows: DataFrame, width: int = 65_536) -> DataFrame:
+    """Previous and next key in natural order.
+
+    Ranks are dealt to ranges of ``width``; a range's first and last row go to the next range as well.
+    """
+    n = ranked(rows, natural_order(), "_n")
+    own = F.floor(F.col("_n") / width)
+    more = F.when(F.pmod("_n", F.lit(width)) == 0, F.array(own, own - 1)).when(F.pmod("_n", F.lit(width)) == width - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("_g").orderBy("_n")
+    out = n.withColumn("_g", F.explode(more)).withColumns({"prev_key": F.lag("key").over(w), "next_key": F.lead("key").over(w)})
+    return out.where(own == F.col("_g")).drop("_n", "_g")
 
 
 def seek(rows: DataFrame, target: str) -> DataFrame:

@@ -34,13 +34,16 @@ def ww_conflicts(ops: DataFrame, txns: DataFrame) -> DataFrame:
     return committed(ops, txns).withColumn("other_commit", F.lag("commit_seq").over(w)).where("other_commit > begin_seq").select("txn_id", "key", "other_commit")
 
 
-def ww_conflicts_global(ops: DataFrame, txns: DataFrame) -> DataFrame:
+def ww_conflicts_global(ops: DataFrame, txns: DataFrame, width: int = 100_000) -> DataFrame:
     """D10 to the letter: writers for whom any transaction committed between snapshot and commit.
 
     Commits are spread over ranges of sequence numbers; only the newest commit before matters.
     """
-    commits = committed(ops, txns).select("txn_id", "commit_seq", "begin_seq").distinct()
-    return commits.withColumn("other_commit", F.lag("commit_seq").over(Window.orderBy("commit_seq", "txn_id"))).where("other_commit > begin_seq").select("txn_id", "other_commit")
+    commits = committed(ops, txns).select("txn_id", "commit_seq", "begin_seq").distinct().withColumn("_g", F.floor(F.col("commit_seq") / width))
+    last = commits.groupBy("_g").agg(F.max("commit_seq").alias("m"))
+    before = last.select("_g", F.lag("m").over(Window.orderBy("_g")).alias("_b"))  # one row per range
+    inner = F.lag("commit_seq").over(Window.partitionBy("_g").orderBy("commit_seq", "txn_id"))
+    return commits.join(before, "_g").withColumn("other_commit", F.coalesce(inner, "_b")).where("other_commit > begin_seq").select("txn_id", "other_commit")
 
 
 def lost_updates(ops: DataFrame, txns: DataFrame) -> DataFrame:

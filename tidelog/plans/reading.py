@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ISOLATION, bloom_bits, bloom_hashes, isolation_level, isolation_name, natural_order
@@ -74,16 +74,11 @@ def paginate_pages(r: Relations) -> DataFrame:
 
 @query(f"SELECT page, max(CASE WHEN n = page * 10 + 1 THEN key END) AS token, bool_or(total > page * 10 + 10) AS has_more FROM ({_paged}) GROUP BY 1")
 def page_tokens(r: Relations) -> DataFrame:
-    p = reads.pages(r.kv, "", "~", 10)
-    first = F.min(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(natural_key())])).alias("m")
-    g = p.groupBy("page").agg(first)
-    return g.select("page", F.col("m.c2").alias("token"), F.lead("page").over(Window.orderBy("page")).isNotNull().alias("has_more"))
-
-
-def natural_key():
-    from ..functions import nkey
-
-    return [nkey("key"), F.length("key"), F.col("key")]
+    n = reads.ranked(reads.latest(reads.between(r.kv, "", "~")), natural_order(), "n").withColumn("page", F.floor((F.col("n") - 1) / 10).cast("long"))
+    # a page of the token tells of the page before it, so has_more needs no order among pages
+    ends = n.select("key", F.col("page").alias("p"), (F.col("n") % 10 == 1).alias("first")).where("first")
+    marks = ends.select(F.explode(F.array(F.struct(F.col("p").alias("page"), F.col("key").alias("token")), F.struct((F.col("p") - 1).alias("page"), F.lit(None).cast("string").alias("token")))).alias("m"))
+    return marks.where("m.page >= 0").groupBy("m.page").agg(F.max("m.token").alias("token"), F.bool_or(F.col("m.token").isNull()).alias("has_more"))
 
 
 @query("SELECT key FROM live")
@@ -94,7 +89,7 @@ def all_keys(r: Relations) -> DataFrame:
 
 @query(f"SELECT key, row_number() OVER (ORDER BY {nk('key')}, length(key), key) AS rank FROM live")
 def natural_sort_rank(r: Relations) -> DataFrame:
-    return reads.latest(r.kv).select("key", F.row_number().over(Window.orderBy(*natural_order())).cast("long").alias("rank"))
+    return reads.ranked(reads.latest(r.kv).select("key"), natural_order(), "rank")
 
 
 @query(f"SELECT key, version, value FROM live ORDER BY {nk('key')}, length(key), key LIMIT 7")
@@ -115,7 +110,7 @@ def iter_neighbors(r: Relations) -> DataFrame:
 
 @query(f"SELECT key, row_number() OVER (ORDER BY {nk('key')} DESC, length(key) DESC, key DESC) AS rank FROM live")
 def reverse_scan(r: Relations) -> DataFrame:
-    return reads.latest(r.kv).select("key", F.row_number().over(Window.orderBy(*natural_order(descending=True))).cast("long").alias("rank"))
+    return reads.ranked(reads.latest(r.kv).select("key"), natural_order(descending=True), "rank")
 
 
 @query("SELECT key, version, value, deleted FROM kv WHERE key = 'user:7'")
