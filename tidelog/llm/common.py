@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, scratch, stored
+
+__all__ = ["ascii_lower", "drop", "let", "scratch", "stored", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,27 +24,5 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by ``spark.checkpoint.dir`` (a local one only where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/tidelog/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete written tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        h = jvm.org.apache.hadoop.fs.Path(p)
-        h.getFileSystem(conf).delete(h, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
