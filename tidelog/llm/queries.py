@@ -16,7 +16,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = topk_search.quantized(table(spark, sf_dir, "embeddings"))
+    v, _ = stored(topk_search.quantized(table(spark, sf_dir, "embeddings")), "vectors")
     return topk_search.topk(v, v.where("vec_id % 50 = 0"), k=5)
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch
 
 BLOCK, DIMS, CHUNK = 4096, 16, 4096
 SCHEMA = "query_id long, vec_id long, score long"
@@ -111,32 +111,42 @@ def branch_and_bound(q: np.ndarray, qid: np.ndarray, batches: Iterator[tuple[np.
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for each row of ``queries`` against all of ``vectors``; both from quantized()."""
+    """query_id, rank, vec_id, score for each row of ``queries`` against all of ``vectors``; both from quantized().
+
+    Both are read once per block of queries, so they should be written tables. With more than one block,
+    each block's result is appended to a table in the shared folder: a lost executor costs one block at
+    most, and the plan does not grow with the number of queries.
+    """
     spark = vectors.sparkSession
-    vectors, _ = stored(vectors, "vectors")
     n = queries.count()
     parts = max(1, -(-n // (block // 2)))
-    out: DataFrame | None = None
+    if parts == 1:
+        return _block(vectors, queries.toPandas(), k)
+    path = scratch(spark, "topk")
     for b in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b).toPandas()
-        width = max((len(v) for v in rows["v"]), default=0)
-        sent = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"].tolist(), width)))
-
-        def score(it: Iterator[pd.DataFrame], sent=sent, k=k) -> Iterator[pd.DataFrame]:
-            qid, q = sent.value
-
-            def chunks():
-                for pdf in it:
-                    for a in range(0, len(pdf), CHUNK // 4):
-                        part = pdf.iloc[a : a + CHUNK // 4]
-                        vs = part["v"].tolist()
-                        yield part["vec_id"].to_numpy(np.int64), _matrix(vs, max((len(v) for v in vs), default=0))
-
-            if len(qid):
-                r, i, s = branch_and_bound(q, qid, chunks(), k)
-                yield pd.DataFrame({"query_id": qid[r], "vec_id": i, "score": s.astype(np.int64)})
-
-        got = vectors.mapInPandas(score, SCHEMA)
-        out = got if out is None else out.unionByName(got)
+        _block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == b).toPandas(), k).write.mode("append").parquet(path)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
+
+
+def _block(vectors: DataFrame, rows: pd.DataFrame, k: int) -> DataFrame:
+    """One block of queries, which is broadcast, against all of ``vectors``."""
+    width = max((len(v) for v in rows["v"]), default=0)
+    sent = vectors.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"].tolist(), width)))
+
+    def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q = sent.value
+
+        def chunks():
+            for pdf in it:
+                for a in range(0, len(pdf), CHUNK // 4):
+                    part = pdf.iloc[a : a + CHUNK // 4]
+                    vs = part["v"].tolist()
+                    yield part["vec_id"].to_numpy(np.int64), _matrix(vs, max((len(v) for v in vs), default=0))
+
+        if len(qid):
+            r, i, s = branch_and_bound(q, qid, chunks(), k)
+            yield pd.DataFrame({"query_id": qid[r], "vec_id": i, "score": s.astype(np.int64)})
+
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = vectors.mapInPandas(score, SCHEMA).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
