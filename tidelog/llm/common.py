@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import drop, scratch, stored
 
-__all__ = ["ascii_lower", "drop", "let", "scratch", "stored", "table"]
+__all__ = ["ascii_lower", "drop", "let", "scratch", "stored", "table", "thinned"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,5 +24,15 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def thinned(hash_: Column, wanted: int, rows: int) -> Column:
+    """A condition on a 64-bit hash that leaves about ``wanted`` of ``rows`` rows; all where there are no more.
+
+    A bounded sample is then sorted out of a few rows, not out of the best of every task.
+    """
+    if rows <= wanted:
+        return F.lit(True)
+    return F.pmod(hash_, F.lit(1 << 40)) < F.lit(-(-(wanted << 40) // rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

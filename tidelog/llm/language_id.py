@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thinned
+
 BUCKETS = 1 << 16
 SAMPLE, EPOCHS = 3000, 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
@@ -156,7 +158,8 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", sample: int =
     df, n = document_frequency(rows, text)
     if not n:
         return None
-    got = features(rows.select(text, label, F.xxhash64(id_col, text).alias("_h")).orderBy("_h").limit(sample), text, label)
+    hashed = rows.select(text, label, F.xxhash64(id_col, text).alias("_h")).where(thinned(F.col("_h"), 2 * sample, n))
+    got = features(hashed.orderBy("_h").limit(sample), text, label)
     got = got[got.u.map(len) > 0]
     if not len(got):
         return None

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import drop, stored
+from .common import drop, stored, thinned
 
 #: Bound of the labelled sample, of the vocabulary and of words taken per document for training.
 SAMPLE, VOCAB = 3000, 50_000
@@ -95,11 +95,14 @@ def train(rows: list[tuple[str, str]], domains=DOMAINS, steps: int = 80) -> Clas
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Train on at most ``sample`` labelled rows, chosen by hash."""
-    rows = labelled(docs, labels)
-    # ids first: whole texts are read of the chosen ones only
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    picked = known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(sample)
-    got = rows.join(F.broadcast(picked), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("text", "domain").collect()
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    h = F.xxhash64("_id")
+    # ids first, by the same hash on either side: whole texts are read of the chosen ones only
+    few = thinned(h, 4 * sample, known.count())
+    there = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id")).where(few)
+    picked = known.where(few).join(there, "_id", "left_semi").orderBy(h).limit(sample)
+    chosen = docs.join(F.broadcast(picked), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    got = labelled(chosen, labels).orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("text", "domain").collect()
     return train([(r.text, r.domain) for r in got])
 
 
