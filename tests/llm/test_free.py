@@ -207,7 +207,7 @@ def test_large_buckets_meet_again(spark):
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(90)] + [(1000 + i, " ".join(f"r{i}_{j}" for j in range(50))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sk = near_dedup.sketches(docs.select(F.col("doc_id").alias("uid"), "text"))
-    pairs = near_dedup.candidates(sk, chunk=8)
+    pairs, _ = near_dedup.candidates(sk, chunk=8)
     root = near_dedup.components(pairs).collect()
     assert len(root) == 90 and {r.root for r in root} == {0}
 

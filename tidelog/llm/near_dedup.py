@@ -140,7 +140,10 @@ def _sets(batches: Iterator[pa.RecordBatch], memo: _Hashes) -> Iterator[tuple[li
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(uid, sig binary, bands array<long>) of (uid, text) rows that have a word; copies in one task once."""
+    """(uid, sig binary, bands array<long>) of (uid, text) rows that have a word; copies in one task once.
+
+    ``sig`` keeps a byte per coordinate: a chance agreement of one in 256 only adds a candidate.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, sets in _sets(batches, _Hashes()):
@@ -151,7 +154,7 @@ def sketches(texts: DataFrame) -> DataFrame:
                 band = _mix(band + sig[:, r::ROWS] + _M)
             band = (band + np.arange(BANDS, dtype=np.uint64) * _M).view(np.int64)
             yield pa.record_batch(
-                [pa.array(uid, pa.int64()), pa.array([x.tobytes() for x in sig.astype(np.uint16)], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))],
+                [pa.array(uid, pa.int64()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))],
                 ["uid", "sig", "bands"],
             )
 
@@ -254,7 +257,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(len(batch), K)
+        sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), K)
         now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), sig)
         if rest is not None:
             now = tuple(np.concatenate(v) for v in zip(rest, now, strict=True))
@@ -264,13 +267,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(*rest, last=True)[0]
 
 
-def candidates(sk: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Distinct likely pairs (x < y) of rows of ``sk`` that share a bucket."""
+def candidates(sk: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """Distinct likely pairs (x < y) of rows of ``sk`` that share a bucket, as a written table, and its path."""
+    temp: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        temp.append(path)
+        return out
+
     members = sk.select("uid", F.explode("bands").alias("b"))
     found: list[DataFrame] = []
     level, stuck = 0, False
     while True:
-        sizes, _ = stored(members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y")).where("n > 1"), "buckets")
+        sizes = kept(members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y")).where("n > 1"), "buckets")
         found.append(sizes.where("n = 2").select("x", "y"))  # a bucket of two is its pair
         rows = members.join(sizes.where("n > 2").select("b", "n"), "b").withColumn("parts", F.ceil(F.col("n") / chunk).cast("long"))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "b", F.lit(level)), F.col("parts")))
@@ -280,7 +290,7 @@ def candidates(sk: DataFrame, chunk: int = CHUNK) -> DataFrame:
         else:
             rows = rows.select("uid", "b", F.col("salt").alias("c"), (F.col("parts") > 1).alias("many"))
         full = rows.join(sk.select("uid", "sig"), "uid").select("b", "c", "many", "uid", "sig")
-        got, _ = stored(full.repartition("b", "c").sortWithinPartitions("b", "c", "uid").mapInArrow(_chunks, PAIRS), f"level{level}")
+        got = kept(full.repartition("b", "c").sortWithinPartitions("b", "c", "uid").mapInArrow(_chunks, PAIRS), f"level{level}")
         found.append(got.where("kind = 0").select("x", "y"))
         up = got.where("kind = 1")
         n = 0 if stuck else up.count()
@@ -293,7 +303,9 @@ def candidates(sk: DataFrame, chunk: int = CHUNK) -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    pairs, path = stored(out.distinct(), "pairs")
+    drop(sk.sparkSession, *temp)
+    return pairs, path
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -352,7 +364,7 @@ def _found(docs: DataFrame, threshold: float, text: str, id_col: str) -> tuple[D
     texts = docs.select(_uid(text).alias("uid"), F.col(text).cast("string").alias("text"))
     rows, _ = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), _uid(text).alias("uid")), "ids")
     sk, sk_path = stored(sketches(texts).dropDuplicates(["uid"]), "sketches")
-    pairs, pairs_path = stored(candidates(sk), "pairs")
+    pairs, pairs_path = candidates(sk)
     used = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
     # the used texts grow with the corpus: the same shuffled join at every size
     sets, sets_path = stored(shingle_sets(texts.join(used.hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"]), "sets")
