@@ -7,10 +7,12 @@ earliest dart is kept; a document needs about k ln k darts whatever its length.
 signature name buckets.
 
 In a bucket, rows of signatures are compared within chunks of bounded size and only a sparse set of
-pairs leaves it: a maximum spanning forest of the likely pairs, each row's best partners, and its
-links to the chunk's hubs. Larger buckets are dealt to salted chunks whose component hubs meet again
-at the next level; where that does not shrink a bucket, its chunks are compared pair by pair. Pairs
-are verified by the exact Jaccard similarity of the shingle sets, so no link is below the threshold.
+pairs leaves it at first: a maximum spanning forest of the likely pairs, each row's best partners, and
+its links to the chunk's hubs. Larger buckets are dealt to salted chunks whose component hubs meet
+again at the next level; where that does not shrink a bucket, its chunks are compared pair by pair.
+Pairs are verified by the exact Jaccard similarity of the shingle sets, so no link is below the
+threshold. A second look then verifies every likely pair of a chunk whose texts are still in different
+components, so the sparse choice loses no link.
 
 Defined results: exact copies (equal texts) share a class whatever their length; null text is its own
 text, equal to other nulls; texts without a word link only to equal ones; texts of fewer than five
@@ -190,15 +192,21 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return used, np.array([find(x) for x in range(n)], np.int64)
 
 
-def likely_pairs(uid: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sparse set of likely pairs (positions a < b) of a chunk, and the hub of each row's component."""
-    n = len(uid)
+def agreement(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates on which rows of a chunk agree, and which pairs are likely."""
+    n = len(sig)
     agree = np.zeros((n, n), np.uint8)
     for c in range(sig.shape[1]):
         col = sig[:, c]
         agree += col[:, None] == col[None, :]
     np.fill_diagonal(agree, 0)
-    good = agree >= int(np.ceil(LIKELY * sig.shape[1]))
+    return agree, agree >= int(np.ceil(LIKELY * sig.shape[1]))
+
+
+def likely_pairs(uid: np.ndarray, sig: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs (positions a < b) of a chunk, a sparse set or every one, and the hub of each row's component."""
+    n = len(uid)
+    agree, good = agreement(sig)
     degree = good.sum(axis=1)
     a, b = np.nonzero(np.triu(good))
     if not len(a):
@@ -216,6 +224,7 @@ def likely_pairs(uid: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarr
     e, at = ends[o], at[o]
     nth = np.arange(len(e)) - np.searchsorted(e, e)
     keep[at[nth < PARTNERS]] = True
+    keep |= every
     best = np.lexsort((np.arange(n), -degree, root))
     lead = np.concatenate(([True], root[best][1:] != root[best][:-1]))
     hub = np.empty(n, np.int64)
@@ -226,33 +235,21 @@ def likely_pairs(uid: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarr
 PAIRS = "kind int, b long, x long, y long"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0: x, y) of each chunk, and the hubs it sends on (kind 1: bucket b, x).
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Per batch the chunks (b, mark, uid, sig) that have ended in it.
 
-    Rows (b, c, many, uid, sig) come sorted, so a chunk's rows follow one another.
+    Rows (b, c, mark, uid, sig) come sorted, so a chunk's rows follow one another.
     """
     rest: tuple | None = None
 
-    def work(b, c, many, uid, sig, last):
-        cut = np.nonzero((b[1:] != b[:-1]) | (c[1:] != c[:-1]))[0] + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(b)]))
+    def split(rows, last):
+        cut = np.nonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))[0] + 1
+        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(rows[0])]))
         keep = None
         if not last:
-            keep = tuple(v[starts[-1] :] for v in (b, c, many, uid, sig))
+            keep = tuple(v[starts[-1] :] for v in rows)
             starts, ends = starts[:-1], ends[:-1]
-        kind, bs, xs, ys = [], [], [], []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            u = uid[s:e]
-            i, j, hub = likely_pairs(u, sig[s:e])
-            xs += [np.minimum(u[i], u[j])]
-            ys += [np.maximum(u[i], u[j])]
-            bs += [np.zeros(len(i), np.int64)]
-            kind += [np.zeros(len(i), np.int32)]
-            if many[s]:
-                h = u[np.unique(hub)]
-                xs, ys, bs, kind = [*xs, h], [*ys, np.zeros(len(h), np.int64)], [*bs, np.full(len(h), b[s])], [*kind, np.ones(len(h), np.int32)]
-        flat = [np.concatenate(v) if v else np.empty(0, t) for v, t in ((kind, np.int32), (bs, np.int64), (xs, np.int64), (ys, np.int64))]
-        return pa.record_batch([pa.array(v) for v in flat], ["kind", "b", "x", "y"]), keep
+        return [tuple(rows[k][s:e] for k in (0, 2, 3, 4)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], keep
 
     for batch in batches:
         if not len(batch):
@@ -261,10 +258,67 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), sig)
         if rest is not None:
             now = tuple(np.concatenate(v) for v in zip(rest, now, strict=True))
-        out, rest = work(*now, last=False)
+        out, rest = split(now, last=False)
         yield out
     if rest is not None:
-        yield work(*rest, last=True)[0]
+        yield split(rest, last=True)[0]
+
+
+def _flat(parts: list[np.ndarray], kind) -> pa.Array:
+    return pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (kind 0: x, y) of each chunk, and the hubs it sends on (kind 1: bucket b, x) where its mark says so."""
+    for chunks in _runs(batches):
+        kind, bs, xs, ys = [], [], [], []
+        for b, many, u, sig in chunks:
+            i, j, hub = likely_pairs(u, sig, every)
+            xs.append(np.minimum(u[i], u[j]))
+            ys.append(np.maximum(u[i], u[j]))
+            bs.append(np.zeros(len(i)))
+            kind.append(np.zeros(len(i)))
+            if many[0]:
+                h = u[np.unique(hub)]
+                xs, ys, bs, kind = [*xs, h], [*ys, np.zeros(len(h))], [*bs, np.full(len(h), b[0])], [*kind, np.ones(len(h))]
+        yield pa.record_batch([_flat(kind, np.int32), _flat(bs, np.int64), _flat(xs, np.int64), _flat(ys, np.int64)], ["kind", "b", "x", "y"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every likely pair (x, y) of each chunk whose marks differ."""
+    for chunks in _runs(batches):
+        xs, ys = [], []
+        for _, root, u, sig in chunks:
+            if (root != root[0]).any():
+                i, j = np.nonzero(np.triu(agreement(sig)[1] & (root[:, None] != root[None, :])))
+                xs.append(np.minimum(u[i], u[j]))
+                ys.append(np.maximum(u[i], u[j]))
+        yield pa.record_batch([_flat(xs, np.int64), _flat(ys, np.int64)], ["x", "y"])
+
+
+def _dealt(rows: DataFrame, chunk: int, level: int) -> DataFrame:
+    """Rows (uid, b, n, more) with the number of chunks of their bucket and their own, ``parts`` and ``salt``."""
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / chunk).cast("long"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("uid", "b", F.lit(level)), F.col("parts")))
+
+
+def _by_chunk(rows: DataFrame, sk: DataFrame) -> DataFrame:
+    """Rows (uid, b, c, mark) with their signatures, chunk by chunk."""
+    full = rows.join(sk.select("uid", "sig"), "uid").select("b", "c", "mark", "uid", "sig")
+    return full.repartition("b", "c").sortWithinPartitions("b", "c", "uid")
+
+
+def missed(sk: DataFrame, root: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Every likely pair of the first level's chunks whose rows are still in different components.
+
+    It makes up for the sparse choice of candidates(). Buckets of one component, nearly all, go no
+    further than an aggregate.
+    """
+    lab = sk.join(root, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"), "bands")
+    members = lab.select("uid", "root", F.explode("bands").alias("b"))
+    mixed = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("z")).where("n > 2 and a <> z").select("b", "n")
+    rows = _dealt(members.join(mixed, "b"), chunk, 0).select("uid", "b", F.col("salt").alias("c"), F.col("root").alias("mark"))
+    return _by_chunk(rows, sk).mapInArrow(_across, "x long, y long").distinct()
 
 
 def candidates(sk: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
@@ -282,15 +336,14 @@ def candidates(sk: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
     while True:
         sizes = kept(members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y")).where("n > 1"), "buckets")
         found.append(sizes.where("n = 2").select("x", "y"))  # a bucket of two is its pair
-        rows = members.join(sizes.where("n > 2").select("b", "n"), "b").withColumn("parts", F.ceil(F.col("n") / chunk).cast("long"))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "b", F.lit(level)), F.col("parts")))
+        rows = _dealt(members.join(sizes.where("n > 2").select("b", "n"), "b"), chunk, level)
         if stuck:  # chunks against chunks: exact, whatever the bucket
             rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            rows = rows.select("uid", "b", (F.least("salt", "o") * F.col("parts") + F.greatest("salt", "o")).alias("c"), F.lit(False).alias("many"))
+            rows = rows.select("uid", "b", (F.least("salt", "o") * F.col("parts") + F.greatest("salt", "o")).alias("c"), F.lit(False).alias("mark"))
         else:
-            rows = rows.select("uid", "b", F.col("salt").alias("c"), (F.col("parts") > 1).alias("many"))
-        full = rows.join(sk.select("uid", "sig"), "uid").select("b", "c", "many", "uid", "sig")
-        got = kept(full.repartition("b", "c").sortWithinPartitions("b", "c", "uid").mapInArrow(_chunks, PAIRS), f"level{level}")
+            rows = rows.select("uid", "b", F.col("salt").alias("c"), (F.col("parts") > 1).alias("mark"))
+        every = level > 0  # few rows get there
+        got = kept(_by_chunk(rows, sk).mapInArrow(lambda it, every=every: _chunks(it, every), PAIRS), f"level{level}")
         found.append(got.where("kind = 0").select("x", "y"))
         up = got.where("kind = 1")
         n = 0 if stuck else up.count()
@@ -369,12 +422,17 @@ def _found(docs: DataFrame, threshold: float, text: str, id_col: str) -> tuple[D
     # the used texts grow with the corpus: the same shuffled join at every size
     sets, sets_path = stored(shingle_sets(texts.join(used.hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"]), "sets")
     links, links_path = stored(verified(pairs, sets, threshold), "links")
-    drop(spark, sk_path, pairs_path, sets_path)
     root = components(links)
+    more, more_path = stored(missed(sk, root).join(pairs, ["x", "y"], "left_anti"), "missed")
+    again, again_path = stored(verified(more, sets, threshold), "links")
+    drop(spark, sk_path, pairs_path, sets_path, more_path)
+    if again.limit(1).count():
+        root = components(root.where("uid <> root").select(F.col("uid").alias("x"), F.col("root").alias("y")).unionByName(again.select("x", "y")))
+    links = links.unionByName(again)
     degree = links.select(F.explode(F.array("x", "y")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     per_text = rows.groupBy("uid").agg(F.min("doc_id").alias("first")).join(root, "uid", "left").join(degree, "uid", "left")
     per_text, _ = stored(per_text.select("uid", "first", F.coalesce("root", "uid").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")), "texts")
-    drop(spark, links_path)
+    drop(spark, links_path, again_path)
     return rows, per_text
 
 
