@@ -221,26 +221,3 @@ def test_dart_signature_estimates_weighted_jaccard():
     k = 4000
     s = near_dedup.dart_signature(np.concatenate([e, e]), np.concatenate([wa, wb]), np.repeat([0, 1], 300), 2, k)
     assert abs((s[0] == s[1]).mean() - want) < 0.03
-
-
-def test_second_look_finds_every_link_across_components(spark):
-    rng = np.random.default_rng(11)
-    rows = []
-    for g in range(12):  # families on either side of the threshold
-        base = [f"g{g}w{i}" for i in rng.integers(0, 10_000, 120)]
-        for i in range(10):
-            w = list(base)
-            for j in rng.integers(0, 120, int(rng.integers(0, 5))):
-                w[j] = f"x{g}_{i}_{j}"
-            rows.append((100 * g + i, " ".join(w)))
-    docs = spark.createDataFrame(rows, "uid long, text string")
-    sk = near_dedup.sketches(docs).cache()
-    sets = {d: set(near_dedup.shingles(t, near_dedup._Hashes())[0].tolist()) for d, t in rows}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    alone = {tuple(r) for r in near_dedup.missed(sk, spark.createDataFrame([], "uid long, root long")).collect()}
-    assert want <= alone and len(want) > 100  # nothing joined yet: every link, however many partners a text has
-    half = {d: d - d % 10 + d % 2 for d in sets}
-    rest = {tuple(r) for r in near_dedup.missed(sk, spark.createDataFrame(list(half.items()), "uid long, root long")).collect()}
-    assert rest == {(a, b) for a, b in alone if half[a] != half[b]}
-    got = near_dedup.classes(docs.withColumnRenamed("uid", "doc_id")).collect()
-    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
