@@ -221,3 +221,22 @@ def test_dart_signature_estimates_weighted_jaccard():
     k = 4000
     s = near_dedup.dart_signature(np.concatenate([e, e]), np.concatenate([wa, wb]), np.repeat([0, 1], 300), 2, k)
     assert abs((s[0] == s[1]).mean() - want) < 0.03
+
+
+def near_threshold(n, edits=3):
+    """Copies of one text with random edits: few pairs of many similar ones are above the threshold."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 200)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for j in rng.integers(0, 200, edits):
+            w[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_near_the_threshold_are_all_looked_at(spark):
+    rows = near_threshold(500)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)

@@ -6,11 +6,9 @@ gaps come from a hash, so equal elements get equal darts in every document. Per
 earliest dart is kept; a document needs about k ln k darts whatever its length. Bands of the
 signature name buckets.
 
-In a bucket, rows of signatures are compared within chunks of bounded size and only a sparse set of
-pairs leaves it: a maximum spanning forest of the likely pairs, each row's best partners, and its
-links to the chunk's hubs. Larger buckets are dealt to salted chunks whose component hubs meet again
-at the next level; where that does not shrink a bucket, its chunks are compared pair by pair. Pairs
-are verified by the exact Jaccard similarity of the shingle sets, so no link is below the threshold.
+Rows that buckets join, directly or not, are a group. A group of bounded size is one cell: every pair is
+judged by the exact Jaccard similarity of the shingle sets, and a spanning forest of verified links leaves
+it. Rows of larger groups are dealt to cells of their largest bucket until that joins no more.
 
 Defined results: exact copies (equal texts) share a class whatever their length; null text is its own
 text, equal to other nulls; texts without a word link only to equal ones; texts of fewer than five
@@ -21,7 +19,7 @@ gives no rows; extra columns are never read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +32,9 @@ from .common import drop, stored
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-CHUNK, PARTNERS, HUBS = 1024, 4, 3
-#: Likely pairs: agreement of signatures, some 3.3 standard deviations below the threshold.
-LIKELY = 0.65
+CHUNK = 1024
+#: A text of more distinct shingles than this counts as several rows of a cell.
+HEAVY = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(r"\w+").findall
 
@@ -140,10 +138,7 @@ def _sets(batches: Iterator[pa.RecordBatch], memo: _Hashes) -> Iterator[tuple[li
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(uid, sig binary, bands array<long>) of (uid, text) rows that have a word; copies in one task once.
-
-    ``sig`` keeps a byte per coordinate: a chance agreement of one in 256 only adds a candidate.
-    """
+    """(uid, shingles binary, bands array<long>) of (uid, text) rows that have a word; copies in one task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, sets in _sets(batches, _Hashes()):
@@ -154,11 +149,11 @@ def sketches(texts: DataFrame) -> DataFrame:
                 band = _mix(band + sig[:, r::ROWS] + _M)
             band = (band + np.arange(BANDS, dtype=np.uint64) * _M).view(np.int64)
             yield pa.record_batch(
-                [pa.array(uid, pa.int64()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))],
-                ["uid", "sig", "bands"],
+                [pa.array(uid, pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))],
+                ["uid", "shingles", "bands"],
             )
 
-    return texts.mapInArrow(run, "uid long, sig binary, bands array<long>")
+    return texts.mapInArrow(run, "uid long, shingles binary, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -171,104 +166,135 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "uid long, shingles binary")
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the pairs (best first) join two trees, and the root of every row."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    used = np.zeros(len(a), bool)
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            used[i] = True
-    return used, np.array([find(x) for x in range(n)], np.int64)
-
-
-def likely_pairs(uid: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sparse set of likely pairs (positions a < b) of a chunk, and the hub of each row's component."""
-    n = len(uid)
-    agree = np.zeros((n, n), np.uint8)
-    for c in range(sig.shape[1]):
-        col = sig[:, c]
-        agree += col[:, None] == col[None, :]
-    np.fill_diagonal(agree, 0)
-    good = agree >= int(np.ceil(LIKELY * sig.shape[1]))
-    degree = good.sum(axis=1)
-    a, b = np.nonzero(np.triu(good))
-    if not len(a):
-        return a, b, np.arange(n)
-    o = np.argsort(-agree[a, b].astype(np.int16), kind="stable")
-    a, b = a[o], b[o]
-    keep, root = _forest(n, a, b)
-    hubs = np.argsort(-degree, kind="stable")[:HUBS]
-    rank = np.zeros(n, bool)
-    rank[hubs] = True
-    keep |= rank[a] | rank[b]
-    ends = np.concatenate((a, b))
-    at = np.concatenate((np.arange(len(a)), np.arange(len(a))))
-    o = np.lexsort((at, ends))
-    e, at = ends[o], at[o]
-    nth = np.arange(len(e)) - np.searchsorted(e, e)
-    keep[at[nth < PARTNERS]] = True
-    best = np.lexsort((np.arange(n), -degree, root))
-    lead = np.concatenate(([True], root[best][1:] != root[best][:-1]))
-    hub = np.empty(n, np.int64)
-    hub[root[best][lead]] = best[lead]
-    return a[keep], b[keep], hub[root]
-
-
-PAIRS = "kind int, b long, x long, y long"
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (kind 0: x, y) of each chunk, and the hubs it sends on (kind 1: bucket b, x).
-
-    Rows (b, c, many, uid, sig) come sorted, so a chunk's rows follow one another.
+def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join all rows of a cell whose exact similarity joins them; rows of one label are joined as they are.
+
+    Every pair is judged by its exact Jaccard similarity; the links that leave are a spanning forest.
     """
-    rest: tuple | None = None
-
-    def work(b, c, many, uid, sig, last):
-        cut = np.nonzero((b[1:] != b[:-1]) | (c[1:] != c[:-1]))[0] + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(b)]))
-        keep = None
-        if not last:
-            keep = tuple(v[starts[-1] :] for v in (b, c, many, uid, sig))
-            starts, ends = starts[:-1], ends[:-1]
-        kind, bs, xs, ys = [], [], [], []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            u = uid[s:e]
-            i, j, hub = likely_pairs(u, sig[s:e])
-            xs += [np.minimum(u[i], u[j])]
-            ys += [np.maximum(u[i], u[j])]
-            bs += [np.zeros(len(i), np.int64)]
-            kind += [np.zeros(len(i), np.int32)]
-            if many[s]:
-                h = u[np.unique(hub)]
-                xs, ys, bs, kind = [*xs, h], [*ys, np.zeros(len(h), np.int64)], [*bs, np.full(len(h), b[s])], [*kind, np.ones(len(h), np.int32)]
-        flat = [np.concatenate(v) if v else np.empty(0, t) for v, t in ((kind, np.int32), (bs, np.int64), (xs, np.int64), (ys, np.int64))]
-        return pa.record_batch([pa.array(v) for v in flat], ["kind", "b", "x", "y"]), keep
-
-    for batch in batches:
-        if not len(batch):
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    value, count = np.unique(np.concatenate(sets), return_counts=True)
+    keep = count > 1  # a shingle of one row is in no intersection
+    value, count = value[keep], count[keep]
+    both = np.zeros((n, n), np.float32)
+    if len(value):
+        o = np.argsort(-count, kind="stable")
+        place = np.empty(len(o), np.int64)
+        place[o] = np.arange(len(o))
+        cols = []
+        for s in sets:
+            at = np.minimum(np.searchsorted(value, s), len(value) - 1)
+            cols.append(place[at[value[at] == s]])
+        row = np.repeat(np.arange(n), [len(c) for c in cols])
+        col = np.concatenate(cols)
+        o = np.lexsort((row, col))
+        row, col = row[o], col[o]
+        dense = int((count >= max(4, n // 32)).sum())
+        for lo in range(0, dense, 4096):
+            hi = min(dense, lo + 4096)
+            i, j = np.searchsorted(col, [lo, hi])
+            block = np.zeros((n, hi - lo), np.float32)
+            block[row[i:j], col[i:j] - lo] = 1
+            both += block @ block.T
+        row, col = row[np.searchsorted(col, dense) :], col[np.searchsorted(col, dense) :]
+        flat = both.reshape(-1)
+        gap = 1
+        while gap < len(row):  # rows of one rare shingle follow one another: pairs by their distance
+            same = np.nonzero(col[gap:] == col[:-gap])[0]
+            if not len(same):
+                break
+            pair, times = np.unique(row[same] * n + row[same + gap], return_counts=True)
+            flat[pair] += times
+            x, y = pair // n, pair % n
+            both[y, x] += times
+            gap += 1
+    both = both.astype(np.float64)
+    good = both / (size[:, None] + size[None, :] - both) >= threshold
+    same = label[:, None] == label[None, :]
+    good &= ~same
+    a, b = [], []
+    left = np.ones(n, bool)
+    for start in range(n):
+        if not left[start]:
             continue
-        sig = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(batch), K)
-        now = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), sig)
-        if rest is not None:
-            now = tuple(np.concatenate(v) for v in zip(rest, now, strict=True))
-        out, rest = work(*now, last=False)
-        yield out
-    if rest is not None:
-        yield work(*rest, last=True)[0]
-
-
-def candidates(sk: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
-    """Distinct likely pairs (x < y) of rows of ``sk`` that share a bucket, as a written table, and its path."""
+        left[start] = False
+        todo = [start]
+        while todo:
+            r = todo.pop()
+            todo += (near := np.nonzero(same[r] & left)[0]).tolist()
+            left[near] = False
+            todo += (near := np.nonzero(good[r] & left)[0]).tolist()
+            left[near] = False
+            a += [r] * len(near)
+            b += near.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def compared(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (x < y) of the rows (uid, c, label) of each cell c, by exact similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid, label, rows, now = [], [], [], None
+
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            u = np.array(uid, np.int64)
+            a, b = cell_links(np.array(label, np.int64), rows, threshold)
+            return np.minimum(u[a], u[b]), np.maximum(u[a], u[b])
+
+        def record(found: list) -> pa.RecordBatch:
+            x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+            return pa.record_batch([pa.array(x), pa.array(y)], ["x", "y"])
+
+        for batch in batches:
+            found, s = [], batch.column(3)
+            for i, (c, u, l) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if c != now and len(uid) > 1:
+                    found.append(done())
+                if c != now:
+                    uid, label, rows, now = [], [], [], c
+                uid.append(u)
+                label.append(l)
+                rows.append(np.frombuffer(s[i].as_buffer(), np.uint64).copy())
+            yield record(found)
+        if len(uid) > 1:
+            yield record([done()])
+
+    full = cells.join(sets.select("uid", "shingles"), "uid").select("c", "uid", "label", "shingles")
+    return full.repartition("c").sortWithinPartitions("c", "uid").mapInArrow(run, "x long, y long")
+
+
+def large_groups(rest: DataFrame, shared: DataFrame, sets: DataFrame, chunk: int, threshold: float, kept: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
+    """Links among rows (uid, w) of groups beyond a cell.
+
+    Every row meets a part of its largest bucket, dealt anew while that joins more.
+    """
+    home = shared.join(rest, "uid").groupBy("uid").agg(F.max(F.struct("n", "b")).alias("m"), F.first("w").alias("w")).select("uid", F.col("m.b").alias("b"), "w")
+    home = kept(home, "home")
+    rows = kept(home.withColumn("label", F.col("uid")), "dealt")
+    found, turn, was = [], 0, None
+    while True:
+        parts = rows.groupBy("b").agg(F.ceil(F.sum("w") / chunk).cast("long").alias("parts"))
+        cells = rows.join(parts, "b").select("uid", F.xxhash64("b", F.pmod(F.xxhash64("uid", F.lit(turn)), F.col("parts"))).alias("c"), "label")
+        found.append(kept(compared(cells, sets, threshold), "links"))
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        label = kept(rest.select("uid").join(components(every), "uid", "left").select("uid", F.coalesce("root", "uid").alias("label")), "label")
+        now = home.join(label, "uid")
+        rows = kept(now.join(now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"), "b", "left_semi").select("uid", "b", "w", "label"), "dealt")
+        n = rows.select("b", "label").distinct().count()
+        if not n or (was is not None and n > 0.7 * was):
+            break
+        was, turn = n, turn + 1
+    return found
+
+
+def candidates(sk: DataFrame, chunk: int = CHUNK, texts: DataFrame | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
+    """Distinct verified links (x < y) as a written table, and its path; their components are those of all rows that share a bucket.
+
+    Shingle sets come from ``texts``, those in a bucket alone, or else from ``sk``.
+    """
+    spark = sk.sparkSession
     temp: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -277,57 +303,28 @@ def candidates(sk: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, str]:
         return out
 
     members = sk.select("uid", F.explode("bands").alias("b"))
-    found: list[DataFrame] = []
-    level, stuck = 0, False
-    while True:
-        sizes = kept(members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y")).where("n > 1"), "buckets")
-        found.append(sizes.where("n = 2").select("x", "y"))  # a bucket of two is its pair
-        rows = members.join(sizes.where("n > 2").select("b", "n"), "b").withColumn("parts", F.ceil(F.col("n") / chunk).cast("long"))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "b", F.lit(level)), F.col("parts")))
-        if stuck:  # chunks against chunks: exact, whatever the bucket
-            rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            rows = rows.select("uid", "b", (F.least("salt", "o") * F.col("parts") + F.greatest("salt", "o")).alias("c"), F.lit(False).alias("many"))
-        else:
-            rows = rows.select("uid", "b", F.col("salt").alias("c"), (F.col("parts") > 1).alias("many"))
-        full = rows.join(sk.select("uid", "sig"), "uid").select("b", "c", "many", "uid", "sig")
-        got = kept(full.repartition("b", "c").sortWithinPartitions("b", "c", "uid").mapInArrow(_chunks, PAIRS), f"level{level}")
-        found.append(got.where("kind = 0").select("x", "y"))
-        up = got.where("kind = 1")
-        n = 0 if stuck else up.count()
-        if not n:
-            break
-        big = members.join(sizes.where(F.col("n") > chunk).select("b"), "b", "left_semi").count()
-        stuck = n > 0.7 * big
-        members = up.select(F.col("x").alias("uid"), "b") if not stuck else members.join(sizes.where(F.col("n") > chunk).select("b"), "b", "left_semi")
-        level += 1
+    sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x")).where("n > 1")
+    shared = kept(members.join(kept(sizes, "buckets"), "b"), "shared")
+    if texts is None:
+        sets = sk.select("uid", "shingles").join(shared.select("uid").distinct(), "uid", "left_semi")
+    else:  # the used texts grow with the corpus: the same shuffled join at every size
+        sets = shingle_sets(texts.join(shared.select("uid").distinct().hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"])
+    sets = kept(sets.withColumn("w", F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * HEAVY))), "sets")
+    # rows that buckets join, directly or not: a group of bounded size is one cell, its sets travel once
+    group = components(shared.where("uid <> x").select("x", F.col("uid").alias("y")).distinct())
+    group = kept(sets.select("uid", "w").join(group, "uid").select("uid", F.col("root").alias("g"), "w"), "groups")
+    load = kept(group.groupBy("g").agg(F.sum("w").alias("load")), "loads")
+    small = group.join(load.where(F.col("load") <= chunk), "g", "left_semi")
+    found = [kept(compared(small.select("uid", F.col("g").alias("c"), F.col("uid").alias("label")), sets, threshold), "links")]
+    rest = kept(group.join(load.where(F.col("load") > chunk), "g", "left_semi").select("uid", "w"), "rest")
+    if not rest.isEmpty():
+        found += large_groups(rest, shared.select("uid", "b", "n"), sets, chunk, threshold, kept)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    pairs, path = stored(out.distinct(), "pairs")
-    drop(sk.sparkSession, *temp)
-    return pairs, path
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose shingle sets have at least the threshold's Jaccard similarity, with it as ``sim``."""
-    left = sets.select(F.col("uid").alias("x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("uid").alias("y"), F.col("shingles").alias("sy"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i in range(len(b)):
-                p, q = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                sim = both / (len(p) + len(q) - both)
-                if sim >= threshold:
-                    keep.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), sim))
-            x, y, s = zip(*keep, strict=True) if keep else ((), (), ())
-            yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.float64())], ["x", "y", "sim"])
-
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long, sim double")
+    links, path = stored(out.distinct(), "pairs")
+    drop(spark, *temp)
+    return links, path
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -363,13 +360,9 @@ def _found(docs: DataFrame, threshold: float, text: str, id_col: str) -> tuple[D
     spark = docs.sparkSession
     texts = docs.select(_uid(text).alias("uid"), F.col(text).cast("string").alias("text"))
     rows, _ = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), _uid(text).alias("uid")), "ids")
-    sk, sk_path = stored(sketches(texts).dropDuplicates(["uid"]), "sketches")
-    pairs, pairs_path = candidates(sk)
-    used = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
-    # the used texts grow with the corpus: the same shuffled join at every size
-    sets, sets_path = stored(shingle_sets(texts.join(used.hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"]), "sets")
-    links, links_path = stored(verified(pairs, sets, threshold), "links")
-    drop(spark, sk_path, pairs_path, sets_path)
+    sk, sk_path = stored(sketches(texts).select("uid", "bands").dropDuplicates(["uid"]), "sketches")
+    links, links_path = candidates(sk, texts=texts, threshold=threshold)
+    drop(spark, sk_path)
     root = components(links)
     degree = links.select(F.explode(F.array("x", "y")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     per_text = rows.groupBy("uid").agg(F.min("doc_id").alias("first")).join(root, "uid", "left").join(degree, "uid", "left")
