@@ -240,3 +240,14 @@ def test_links_near_the_threshold_are_all_looked_at(spark):
     rows = near_threshold(500)
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+
+
+def repeated_texts():
+    """Texts next to the same text written two, four and eight times."""
+    return [(10 * g + k, " ".join(f"g{g}w{i}" for _ in range(times) for i in range(60))) for g in range(40) for k, times in enumerate((1, 2, 4, 8))]
+
+
+def test_repeated_passages_do_not_hide_a_link(spark):
+    rows = repeated_texts()
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)

@@ -1,7 +1,7 @@
 """Near-duplicate classes by DartMinHash.
 
-Each text is a weighted set of five-word shingles (weight 1 + log2 of the count). Darts are thrown at
-the element's weight region: per element and unit of weight they arrive as a Poisson process whose
+Each text is a set of five-word shingles: candidates and links go by the same similarity, which does not
+depend on how often a text repeats one. Darts are thrown at the element's weight region (weight 1): per element and unit of weight they arrive as a Poisson process whose
 gaps come from a hash, so equal elements get equal darts in every document. Per coordinate the
 earliest dart is kept; a document needs about k ln k darts whatever its length. Bands of the
 signature name buckets.
@@ -143,7 +143,7 @@ def sketches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, sets in _sets(batches, _Hashes()):
             doc = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
-            sig = dart_signature(np.concatenate([s for s, _ in sets]), 1 + np.log2(np.concatenate([c for _, c in sets])), doc, len(sets))
+            sig = dart_signature(np.concatenate([s for s, _ in sets]), np.ones(len(doc)), doc, len(sets))  # sets, as verified
             band = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 band = _mix(band + sig[:, r::ROWS] + _M)
