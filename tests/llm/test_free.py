@@ -251,3 +251,17 @@ def test_repeated_passages_do_not_hide_a_link(spark):
     rows = repeated_texts()
     got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
+
+
+def chained(n):
+    """A chain of texts, each linked only to the next few: links between cells are needed to join it."""
+    words = [f"c{i}" for i in range(200 + 15 * n)]
+    return [(i, " ".join(words[15 * i : 15 * i + 200])) for i in range(n)]
+
+
+def test_links_between_cells_of_a_large_bucket_are_found(spark):
+    rows = chained(30) + [(1000 + i, t) for i, t in near_threshold(120)]
+    docs = spark.createDataFrame(rows, "uid long, text string")
+    links, _ = near_dedup.candidates(near_dedup.sketches(docs).cache(), chunk=8)
+    root = {r.uid: r.root for r in near_dedup.components(links).collect()}
+    assert sorted((d, root.get(d, d)) for d, _ in rows) == brute_classes(rows)

@@ -8,7 +8,8 @@ signature name buckets.
 
 Rows that buckets join, directly or not, are a group. A group of bounded size is one cell: every pair is
 judged by the exact Jaccard similarity of the shingle sets, and a spanning forest of verified links leaves
-it. Rows of larger groups are dealt to cells of their largest bucket until that joins no more.
+it. Rows of larger groups are dealt to cells of their largest bucket until that joins no more; then each
+bucket that still holds rows not joined compares them with all its rows, so no pair of a bucket is left out.
 
 Defined results: exact copies (equal texts) share a class whatever their length; null text is its own
 text, equal to other nulls; texts without a word link only to equal ones; texts of fewer than five
@@ -266,7 +267,9 @@ def compared(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def large_groups(rest: DataFrame, shared: DataFrame, sets: DataFrame, chunk: int, threshold: float, kept: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
     """Links among rows (uid, w) of groups beyond a cell.
 
-    Every row meets a part of its largest bucket, dealt anew while that joins more.
+    Every row meets a part of its largest bucket, dealt anew while that joins more. Then every bucket whose
+    rows are not all joined is compared whole: rows outside its commonest label with all others, in cells of
+    two half chunks.
     """
     home = shared.join(rest, "uid").groupBy("uid").agg(F.max(F.struct("n", "b")).alias("m"), F.first("w").alias("w")).select("uid", F.col("m.b").alias("b"), "w")
     home = kept(home, "home")
@@ -283,9 +286,20 @@ def large_groups(rest: DataFrame, shared: DataFrame, sets: DataFrame, chunk: int
         now = home.join(label, "uid")
         rows = kept(now.join(now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"), "b", "left_semi").select("uid", "b", "w", "label"), "dealt")
         n = rows.select("b", "label").distinct().count()
-        if not n or (was is not None and n > 0.7 * was):
+        if was is not None and n > 0.7 * was or not n:
             break
         was, turn = n, turn + 1
+    half = chunk / 2
+    m = shared.join(rest, "uid").join(label, "uid").select("uid", "b", "w", "label")
+    sums = m.groupBy("b", "label").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all")).where("all > top.w")
+    # rows of no common label are parts 0 .. q - 1, the others the parts q .. q + p - 1
+    q, p = F.ceil((F.col("all") - F.col("top.w")) / half).cast("long"), F.ceil(F.col("top.w") / half).cast("long")
+    m = m.join(sums.select("b", F.col("top.label").alias("common"), q.alias("q"), p.alias("p")), "b")
+    m = m.withColumn("part", F.when(F.col("label") == F.col("common"), F.col("q") + F.pmod(F.xxhash64("uid", "b"), F.col("p"))).otherwise(F.pmod(F.xxhash64("uid", "b"), F.col("q"))))
+    others = F.when(F.col("part") < F.col("q"), F.col("q") + F.col("p")).otherwise(F.col("q"))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    cells = m.select("uid", F.xxhash64("b", F.least("part", "o"), F.greatest("part", "o")).alias("c"), "label")
+    found.append(kept(compared(cells, sets, threshold), "links"))
     return found
 
 
