@@ -150,11 +150,11 @@ def test_mixing(spark, odd, none):
 
 
 def jaccard(a, b):
-    a, b = (set(near_dedup.shingles(x, near_dedup._Hashes())[0].tolist()) for x in (a, b))
+    a, b = (set(near_dedup.shingles(x, near_dedup._Hashes()).tolist()) for x in (a, b))
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def brute_groups(rows, threshold=0.8):
+def brute_groups(rows, threshold=0.8, counted=False):
     """The ids of each class; classes are of texts, so two of them may hold the same id."""
     texts = sorted({t for _, t in rows}, key=lambda t: (t is not None, t))
     root = {t: t for t in texts}
@@ -164,7 +164,7 @@ def brute_groups(rows, threshold=0.8):
             t = root[t]
         return t
 
-    sets = {t: set(near_dedup.shingles(t, near_dedup._Hashes())[0].tolist()) for t in texts}
+    sets = {t: set(near_dedup.shingles(t, near_dedup._Hashes(), counted).tolist()) for t in texts}
     for i, a in enumerate(texts):
         for b in texts[:i]:
             if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
@@ -175,8 +175,15 @@ def brute_groups(rows, threshold=0.8):
     return list(group.values())
 
 
-def brute_classes(rows, threshold=0.8):
-    return sorted((d, min((x for x in g if x is not None), default=None)) for g in brute_groups(rows, threshold) for d in g if d is not None)
+def brute_classes(rows, threshold=0.8, counted=False):
+    return sorted((d, min((x for x in g if x is not None), default=None)) for g in brute_groups(rows, threshold, counted) for d in g if d is not None)
+
+
+def linked(spark, rows, **kw):
+    """Root of every row of (uid, text) by the operator with small cells."""
+    docs = spark.createDataFrame(rows, "uid long, text string").withColumn("k", F.col("uid"))
+    root = {r.uid: r.root for r in near_dedup.linked(docs, docs.select("uid", "k"), **kw).collect()}
+    return sorted((d, root.get(d, d)) for d, _ in rows)
 
 
 def test_near_duplicates(spark, odd, none):
@@ -205,11 +212,7 @@ def test_large_buckets_meet_again(spark):
     rng = np.random.default_rng(4)
     base = ["w%d" % i for i in rng.integers(0, 900, 200)]
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(90)] + [(1000 + i, " ".join(f"r{i}_{j}" for j in range(50))) for i in range(20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    sk = near_dedup.sketches(docs.select(F.col("doc_id").alias("uid"), "text"))
-    pairs, _ = near_dedup.candidates(sk, chunk=8)
-    root = near_dedup.components(pairs).collect()
-    assert len(root) == 90 and {r.root for r in root} == {0}
+    assert linked(spark, rows, chunk=8) == brute_classes(rows)
 
 
 def test_dart_signature_estimates_weighted_jaccard():
@@ -224,7 +227,7 @@ def test_dart_signature_estimates_weighted_jaccard():
 
 
 def near_threshold(n, edits=3):
-    """Copies of one text with random edits: few pairs of many similar ones are above the threshold."""
+    """Copies of one text with random edits: with more of them, fewer pairs are above the threshold."""
     rng = np.random.default_rng(12)
     base = [f"w{i}" for i in rng.integers(0, 10_000, 200)]
     rows = []
@@ -261,7 +264,44 @@ def chained(n):
 
 def test_links_between_cells_of_a_large_bucket_are_found(spark):
     rows = chained(30) + [(1000 + i, t) for i, t in near_threshold(120)]
-    docs = spark.createDataFrame(rows, "uid long, text string")
-    links, _ = near_dedup.candidates(near_dedup.sketches(docs).cache(), chunk=8)
-    root = {r.uid: r.root for r in near_dedup.components(links).collect()}
-    assert sorted((d, root.get(d, d)) for d, _ in rows) == brute_classes(rows)
+    assert linked(spark, rows, chunk=8) == brute_classes(rows)
+
+
+def test_repetitions_count_where_asked(spark):
+    rows = repeated_texts() + near_threshold(60)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), counted=True).collect()
+    want = brute_classes(rows, counted=True)
+    assert sorted((r.doc_id, r.class_id) for r in got) == want != brute_classes(rows)
+
+
+def banded(level, n=150):
+    """Pairs of 100 words at about one similarity, one side with a repeated line."""
+    rng = np.random.default_rng(int(1000 * level))
+    rows = []
+    for g in range(n):
+        w = [f"b{level}_{g}_{i}" for i in range(116)]
+        v = list(w)
+        for j in rng.choice(23, int(round((1 - level) / (1 + level) * 112 / 5)), replace=False):
+            v[5 * j] = f"y{g}_{j}"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*v, *(v[-16:] * (g % 3))]))]
+    return rows
+
+
+def test_recall_by_similarity(spark):
+    rows, links = [], []
+    for level in (0.82, 0.86, 0.9, 0.95):
+        for a, b in zip(*[iter(banded(level))] * 2, strict=True):
+            i = len(rows)
+            rows += [(i, a[1]), (i + 1, b[1])]
+            links.append((i, i + 1, jaccard(a[1], b[1])))
+    root = dict(linked(spark, rows))
+    for lo in (0.8, 0.84, 0.88, 0.92, 0.96):
+        band = [(x, y) for x, y, j in links if lo <= j < lo + 0.04]
+        assert not band or sum(root[x] == root[y] for x, y in band) >= 0.99 * len(band), lo
+    assert all(root[x] != root[y] for x, y, j in links if j < 0.8)
+
+
+def test_a_group_far_above_a_cell(spark):
+    rows = near_threshold(1500, 5) + [(5000 + i, t) for i, t in near_threshold(40, 2)]
+    assert linked(spark, rows, chunk=64) == brute_classes(rows)

@@ -1,31 +1,35 @@
 """Near-duplicate classes by DartMinHash.
 
-Each text is a set of five-word shingles: candidates and links go by the same similarity, which does not
-depend on how often a text repeats one. Darts are thrown at the element's weight region (weight 1): per element and unit of weight they arrive as a Poisson process whose
-gaps come from a hash, so equal elements get equal darts in every document. Per coordinate the
-earliest dart is kept; a document needs about k ln k darts whatever its length. Bands of the
-signature name buckets.
-
-Rows that buckets join, directly or not, are a group. A group of bounded size is one cell: every pair is
-judged by the exact Jaccard similarity of the shingle sets, and a spanning forest of verified links leaves
-it. Rows of larger groups are dealt to cells of their largest bucket until that joins no more; then each
-bucket that still holds rows not joined compares them with all its rows, so no pair of a bucket is left out.
+A text is a weighted set of five-word shingles: weight 1 each, or with ``counted`` how often the text
+holds it (each repetition is a unit of weight of its own). Sketches, candidates and links all go by the
+Jaccard similarity of these same weights. Darts are thrown at the elements' weight regions: per unit of
+weight they arrive as a Poisson process whose gaps come from a hash, so equal regions get equal darts in
+every document. Per coordinate the earliest dart is kept; a document needs about k ln k darts whatever
+its length. Bands of the signature name buckets.
+
+Every pair that shares a bucket is settled: its exact similarity is computed, or both rows are already in
+one class. Rows that buckets join, directly or not, are a group. A group of bounded size is one cell,
+where all pairs are compared. Rows of a larger group first meet two random parts of their largest bucket;
+then the rows outside the commonest class are compared with all others, in the group or in each bucket,
+whichever is less work, in cells of two half chunks. So the work beyond a cell is quadratic only in rows
+that have no link.
 
 Defined results: exact copies (equal texts) share a class whatever their length; null text is its own
 text, equal to other nulls; texts without a word link only to equal ones; texts of fewer than five
-words are one shingle; repeated and null ids are kept, one result row per input row; an empty table
-gives no rows; extra columns are never read.
+words are one shingle; repeated and null ids are kept, one result row per input row; a class is named by
+its smallest id that is not null (null if it has none); an empty table gives no rows; extra columns are
+never read by ``classes``, and decide between rows of one id and text in ``one_of_each``.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, stored
@@ -33,7 +37,8 @@ from .common import drop, stored
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-CHUNK = 1024
+#: Rows of a cell: every pair of a cell is compared by one task.
+CHUNK = 256
 #: A text of more distinct shingles than this counts as several rows of a cell.
 HEAVY = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -56,17 +61,21 @@ class _Hashes(dict):
         return got
 
 
-def shingles(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit shingles and their counts."""
+def shingles(text: str | None, memo: dict[str, int], counted: bool = False) -> np.ndarray:
+    """Sorted distinct 64-bit shingles; with ``counted`` the k-th repetition of one is an element of its own."""
     words = _words((text or "").lower())
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     s = np.zeros(n, np.uint64)
     for j in range(min(WORDS, len(h))):
         s = _mix(s + h[j : j + n] + _M)
-    return np.unique(s, return_counts=True)
+    if not counted:
+        return np.unique(s)
+    s.sort()
+    turn = np.arange(n) - np.searchsorted(s, s)
+    return np.unique(np.where(turn > 0, _mix(s + turn.astype(np.uint64) * _M), s))
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: int, k: int = K) -> np.ndarray:
@@ -115,65 +124,72 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, d
     return sig
 
 
-def _sets(batches: Iterator[pa.RecordBatch], memo: _Hashes) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
-    """Runs of (uids, shingle sets) of bounded size; a text that the task has just seen is passed over."""
-    seen: set[int] = set()
-    uid, sets, size = [], [], 0
+def _sets(batches: Iterator[pa.RecordBatch], counted: bool, once: bool) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """Runs of (other columns, shingle sets) of bounded size, of rows (key, text, ...) that have a word.
+
+    With ``once`` a key that the task has just seen is passed over.
+    """
+    memo, seen = _Hashes(), set()
+    other, sets, size = [], [], 0
     for b in batches:
-        for u, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if u in seen:
-                continue
-            if len(seen) >= 200_000:
-                seen.clear()
-            seen.add(u)
-            s, c = shingles(t.as_py(), memo)
+        rest = zip(*(b.column(i).to_pylist() for i in range(b.num_columns) if i != 1), strict=True)
+        for row, t in zip(rest, b.column(1), strict=True):
+            if once:
+                if row[0] in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(row[0])
+            s = shingles(t.as_py(), memo, counted)
             if len(s):
-                uid.append(u)
-                sets.append((s, c))
+                other.append(row)
+                sets.append(s)
                 size += len(s)
             if size >= 200_000:
-                yield uid, sets
-                uid, sets, size = [], [], 0
-    if uid:
-        yield uid, sets
+                yield other, sets
+                other, sets, size = [], [], 0
+    if other:
+        yield other, sets
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(uid, shingles binary, bands array<long>) of (uid, text) rows that have a word; copies in one task once."""
+def sketches(texts: DataFrame, counted: bool = False) -> DataFrame:
+    """(uid, size, bands array<long>) of (uid, text) rows that have a word; copies in one task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, sets in _sets(batches, _Hashes()):
-            doc = np.repeat(np.arange(len(sets)), [len(s) for s, _ in sets])
-            sig = dart_signature(np.concatenate([s for s, _ in sets]), np.ones(len(doc)), doc, len(sets))  # sets, as verified
+        for row, sets in _sets(batches, counted, True):
+            size = [len(s) for s in sets]
+            doc = np.repeat(np.arange(len(sets)), size)
+            sig = dart_signature(np.concatenate(sets), np.ones(len(doc)), doc, len(sets))
             band = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 band = _mix(band + sig[:, r::ROWS] + _M)
             band = (band + np.arange(BANDS, dtype=np.uint64) * _M).view(np.int64)
-            yield pa.record_batch(
-                [pa.array(uid, pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array(list(band), pa.list_(pa.int64()))],
-                ["uid", "shingles", "bands"],
-            )
+            yield pa.record_batch([pa.array([r[0] for r in row], pa.int64()), pa.array(size, pa.int32()), pa.array(list(band), pa.list_(pa.int64()))], ["uid", "size", "bands"])
 
-    return texts.mapInArrow(run, "uid long, shingles binary, bands array<long>")
+    return texts.mapInArrow(run, "uid long, size int, bands array<long>")
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(uid, shingles binary) of (uid, text) rows that have a word."""
+def shingle_sets(texts: DataFrame, counted: bool = False) -> DataFrame:
+    """(uid, cells, big, shingles binary) of rows (uid, text, cells, big)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, sets in _sets(batches, _Hashes()):
-            yield pa.record_batch([pa.array(uid, pa.int64()), pa.array([s.tobytes() for s, _ in sets], pa.binary())], ["uid", "shingles"])
-
-    return texts.mapInArrow(run, "uid long, shingles binary")
+        for row, sets in _sets(batches, counted, False):
+            uid, cells, big = zip(*row, strict=True)
+            yield pa.record_batch(
+                [pa.array(uid, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(big, pa.bool_()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["uid", "cells", "big", "shingles"],
+            )
 
+    return texts.mapInArrow(run, "uid long, cells array<long>, big boolean, shingles binary")
 
-def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that join all rows of a cell whose exact similarity joins them; rows of one label are joined as they are.
 
-    Every pair is judged by its exact Jaccard similarity; the links that leave are a spanning forest.
-    """
+def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sorted sets reach the threshold, as a square of booleans; every pair by its exact similarity."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.full((2, 2), both / (size.sum() - both) >= threshold)
     value, count = np.unique(np.concatenate(sets), return_counts=True)
     keep = count > 1  # a shingle of one row is in no intersection
     value, count = value[keep], count[keep]
@@ -210,105 +226,120 @@ def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THR
             both[y, x] += times
             gap += 1
     both = both.astype(np.float64)
-    good = both / (size[:, None] + size[None, :] - both) >= threshold
-    same = label[:, None] == label[None, :]
-    good &= ~same
-    a, b = [], []
-    left = np.ones(n, bool)
-    for start in range(n):
-        if not left[start]:
-            continue
-        left[start] = False
-        todo = [start]
-        while todo:
-            r = todo.pop()
-            todo += (near := np.nonzero(same[r] & left)[0]).tolist()
-            left[near] = False
-            todo += (near := np.nonzero(good[r] & left)[0]).tolist()
-            left[near] = False
-            a += [r] * len(near)
-            b += near.tolist()
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def compared(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (x < y) of the rows (uid, c, label) of each cell c, by exact similarity."""
+    return both / (size[:, None] + size[None, :] - both) >= threshold
+
+
+def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): each label y of a cell that verified links join to a smaller one, and the smallest, x, that it is joined to."""
+    names, of = np.unique(label, return_inverse=True)
+    a, b = np.nonzero(np.triu(similar(sets, threshold), 1))
+    a, b = of[a], of[b]
+    root = np.arange(len(names))
+    while len(a):  # smallest label of what is joined
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new[root]
+    far = np.nonzero(root != np.arange(len(names)))[0]
+    return names[root[far]], names[far]
+
+
+def compared(cells: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y, big) between labels of the rows (c, label, big, shingles) of each cell c, by exact similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, label, rows, now = [], [], [], None
+        label, rows, now, flag = [], [], None, False
 
-        def done() -> tuple[np.ndarray, np.ndarray]:
-            u = np.array(uid, np.int64)
-            a, b = cell_links(np.array(label, np.int64), rows, threshold)
-            return np.minimum(u[a], u[b]), np.maximum(u[a], u[b])
+        def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x, y = cell_links(np.array(label, np.int64), rows, threshold)
+            return x, y, np.full(len(x), flag)
 
         def record(found: list) -> pa.RecordBatch:
-            x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-            return pa.record_batch([pa.array(x), pa.array(y)], ["x", "y"])
+            cols = [np.concatenate(v) for v in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+            return pa.record_batch([pa.array(v) for v in cols], ["x", "y", "big"])
 
         for batch in batches:
             found, s = [], batch.column(3)
-            for i, (c, u, l) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                if c != now and len(uid) > 1:
+            for i, (c, u, f) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if c != now and len(rows) > 1:
                     found.append(done())
                 if c != now:
-                    uid, label, rows, now = [], [], [], c
-                uid.append(u)
-                label.append(l)
+                    label, rows, now, flag = [], [], c, f
+                label.append(u)
                 rows.append(np.frombuffer(s[i].as_buffer(), np.uint64).copy())
             yield record(found)
-        if len(uid) > 1:
+        if len(rows) > 1:
             yield record([done()])
 
-    full = cells.join(sets.select("uid", "shingles"), "uid").select("c", "uid", "label", "shingles")
-    return full.repartition("c").sortWithinPartitions("c", "uid").mapInArrow(run, "x long, y long")
+    return cells.select("c", "label", "big", "shingles").repartition("c").sortWithinPartitions("c", "label").mapInArrow(run, "x long, y long, big boolean")
 
 
-def large_groups(rest: DataFrame, shared: DataFrame, sets: DataFrame, chunk: int, threshold: float, kept: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
-    """Links among rows (uid, w) of groups beyond a cell.
+def components(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+    """(uid, root), a written table: every row of ``links`` (x, y) but the roots, and the smallest id of its component.
 
-    Every row meets a part of its largest bucket, dealt anew while that joins more. Then every bucket whose
-    rows are not all joined is compared whole: rows outside its commonest label with all others, in cells of
-    two half chunks.
+    Each row is hung under its smallest neighbour, its other smaller neighbours too, until each has one;
+    then every row takes its parent's parent. Ids are hashes, so the rounds are few. ``stars`` are links
+    after a first such step, if the caller has made it. Every round is written to the shared folder.
     """
-    home = shared.join(rest, "uid").groupBy("uid").agg(F.max(F.struct("n", "b")).alias("m"), F.first("w").alias("w")).select("uid", F.col("m.b").alias("b"), "w")
-    home = kept(home, "home")
-    rows = kept(home.withColumn("label", F.col("uid")), "dealt")
-    found, turn, was = [], 0, None
+    spark = (stars if links is None else links).sparkSession
+    edges = stars if stars is not None else links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    edges, path = stored(edges.distinct(), "edges")
     while True:
-        parts = rows.groupBy("b").agg(F.ceil(F.sum("w") / chunk).cast("long").alias("parts"))
-        cells = rows.join(parts, "b").select("uid", F.xxhash64("b", F.pmod(F.xxhash64("uid", F.lit(turn)), F.col("parts"))).alias("c"), "label")
-        found.append(kept(compared(cells, sets, threshold), "links"))
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        label = kept(rest.select("uid").join(components(every), "uid", "left").select("uid", F.coalesce("root", "uid").alias("label")), "label")
-        now = home.join(label, "uid")
-        rows = kept(now.join(now.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"), "b", "left_semi").select("uid", "b", "w", "label"), "dealt")
-        n = rows.select("b", "label").distinct().count()
-        if was is not None and n > 0.7 * was or not n:
+        hung = edges.withColumn("m", F.min("x").over(Window.partitionBy("y")))
+        moved = F.explode(F.when(F.col("x") == F.col("m"), F.array("y")).otherwise(F.array("y", "x")))
+        step = hung.select("m", (F.col("x") != F.col("m")).alias("f"), moved.alias("y"))
+        nxt, next_path = stored(step.groupBy(F.col("m").alias("x"), "y").agg(F.max("f").alias("f")), "edges")
+        drop(spark, path)
+        edges, path = nxt.select("x", "y"), next_path
+        if nxt.where("f").isEmpty():
             break
-        was, turn = n, turn + 1
+    while True:
+        up = edges.select("x").distinct().join(edges.select(F.col("y").alias("x"), F.col("x").alias("up")), "x")
+        up, up_path = stored(up, "parents")
+        if up.isEmpty():
+            drop(spark, up_path)
+            return edges.select(F.col("y").alias("uid"), F.col("x").alias("root"))
+        nxt, next_path = stored(edges.join(up, "x", "left").select(F.coalesce("up", "x").alias("x"), "y"), "edges")
+        drop(spark, path, up_path)
+        edges, path = nxt, next_path
+
+
+def _roots(uids: DataFrame, comp: DataFrame, name: str = "root") -> DataFrame:
+    return uids.join(comp, "uid", "left").withColumn("root", F.coalesce("root", "uid")).withColumnRenamed("root", name)
+
+
+def left_over(m: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
+    """Cells (c, uid, label) that settle what is open among rows m (uid, g, w, label) of large groups.
+
+    A unit is a group or a bucket. Rows outside a unit's commonest label are parts 0 .. q - 1, the others the
+    parts q .. q + p - 1; each part of the first kind meets every other part.
+    """
+    one = m.select(F.col("g").alias("unit"), "g", "uid", "label", "w", F.lit(True).alias("whole"))
+    each = shared.select("uid", "b").join(m, "uid").select(F.xxhash64("b").alias("unit"), "g", "uid", "label", "w", F.lit(False).alias("whole"))
+    units = one.unionByName(each)
+    sums = units.groupBy("whole", "unit", "g", "label").agg(F.sum("w").alias("w")).groupBy("whole", "unit", "g").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("load")).where("load > top.w")
+    cost = sums.groupBy("g").agg(*[F.coalesce(F.sum(F.when(F.col("whole") == v, (F.col("load") - F.col("top.w")) * F.col("load"))), F.lit(0.0)).alias(n) for n, v in (("as_group", True), ("as_buckets", False))])
+    sums = sums.join(cost.select("g", (F.col("as_group") <= F.col("as_buckets")).alias("whole")), ["g", "whole"])
     half = chunk / 2
-    m = shared.join(rest, "uid").join(label, "uid").select("uid", "b", "w", "label")
-    sums = m.groupBy("b", "label").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all")).where("all > top.w")
-    # rows of no common label are parts 0 .. q - 1, the others the parts q .. q + p - 1
-    q, p = F.ceil((F.col("all") - F.col("top.w")) / half).cast("long"), F.ceil(F.col("top.w") / half).cast("long")
-    m = m.join(sums.select("b", F.col("top.label").alias("common"), q.alias("q"), p.alias("p")), "b")
-    m = m.withColumn("part", F.when(F.col("label") == F.col("common"), F.col("q") + F.pmod(F.xxhash64("uid", "b"), F.col("p"))).otherwise(F.pmod(F.xxhash64("uid", "b"), F.col("q"))))
+    q, p = F.ceil((F.col("load") - F.col("top.w")) / half).cast("long"), F.ceil(F.col("top.w") / half).cast("long")
+    u = units.join(sums.select("whole", "unit", F.col("top.label").alias("common"), q.alias("q"), p.alias("p")), ["whole", "unit"])
+    u = u.withColumn("part", F.when(F.col("label") == F.col("common"), F.col("q") + F.pmod(F.xxhash64("uid", "unit"), F.col("p"))).otherwise(F.pmod(F.xxhash64("uid", "unit"), F.col("q"))))
     others = F.when(F.col("part") < F.col("q"), F.col("q") + F.col("p")).otherwise(F.col("q"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
-    cells = m.select("uid", F.xxhash64("b", F.least("part", "o"), F.greatest("part", "o")).alias("c"), "label")
-    found.append(kept(compared(cells, sets, threshold), "links"))
-    return found
+    u = u.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return u.select("uid", "label", F.xxhash64("unit", F.least("part", "o"), F.greatest("part", "o")).alias("c"))
 
 
-def candidates(sk: DataFrame, chunk: int = CHUNK, texts: DataFrame | None = None, threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
-    """Distinct verified links (x < y) as a written table, and its path; their components are those of all rows that share a bucket.
+def linked(texts: DataFrame, first: DataFrame, chunk: int = CHUNK, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+    """(uid, root), a written table: rows that links join to a smaller one, and the smallest of their class.
 
-    Shingle sets come from ``texts``, those in a bucket alone, or else from ``sk``.
+    ``texts`` holds rows (k, uid, text), ``first`` one key k per uid: copies of a text are passed by before
+    texts are moved.
     """
-    spark = sk.sparkSession
+    spark = texts.sparkSession
     temp: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -316,85 +347,73 @@ def candidates(sk: DataFrame, chunk: int = CHUNK, texts: DataFrame | None = None
         temp.append(path)
         return out
 
-    members = sk.select("uid", F.explode("bands").alias("b"))
+    sk = kept(sketches(texts.select("uid", "text"), counted).dropDuplicates(["uid"]), "sketches")
+    members = sk.select("uid", F.greatest(F.lit(1.0), F.col("size") / HEAVY).alias("w"), F.explode("bands").alias("b"))
     sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x")).where("n > 1")
     shared = kept(members.join(kept(sizes, "buckets"), "b"), "shared")
-    if texts is None:
-        sets = sk.select("uid", "shingles").join(shared.select("uid").distinct(), "uid", "left_semi")
-    else:  # the used texts grow with the corpus: the same shuffled join at every size
-        sets = shingle_sets(texts.join(shared.select("uid").distinct().hint("merge"), "uid", "left_semi")).dropDuplicates(["uid"])
-    sets = kept(sets.withColumn("w", F.greatest(F.lit(1.0), F.octet_length("shingles") / (8 * HEAVY))), "sets")
-    # rows that buckets join, directly or not: a group of bounded size is one cell, its sets travel once
-    group = components(shared.where("uid <> x").select("x", F.col("uid").alias("y")).distinct())
-    group = kept(sets.select("uid", "w").join(group, "uid").select("uid", F.col("root").alias("g"), "w"), "groups")
-    load = kept(group.groupBy("g").agg(F.sum("w").alias("load")), "loads")
-    small = group.join(load.where(F.col("load") <= chunk), "g", "left_semi")
-    found = [kept(compared(small.select("uid", F.col("g").alias("c"), F.col("uid").alias("label")), sets, threshold), "links")]
-    rest = kept(group.join(load.where(F.col("load") > chunk), "g", "left_semi").select("uid", "w"), "rest")
-    if not rest.isEmpty():
-        found += large_groups(rest, shared.select("uid", "b", "n"), sets, chunk, threshold, kept)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    links, path = stored(out.distinct(), "pairs")
+    used = kept(
+        shared.groupBy("uid").agg(F.first("w").alias("w"), F.collect_set("x").alias("xs"), F.max(F.struct("n", "b")).alias("home"))  # at most BANDS
+        .select("uid", "w", F.col("home.b").alias("b"), "xs", F.array_min("xs").alias("m")), "used",
+    )
+    stars = used.select(F.col("m").alias("x"), F.explode(F.array_union("xs", F.array("uid"))).alias("y")).where("x <> y")
+    group = _roots(used.select("uid", "w", "b"), components(None, stars), "g")
+    load = group.groupBy("g").agg(F.sum("w").alias("load"))
+    group = kept(group.join(load, "g").withColumn("big", F.col("load") > chunk), "groups")
+    homes = group.where("big").groupBy("b").agg(F.ceil(F.sum("w") / chunk).cast("long").alias("parts"))
+    deal = lambda turn: F.xxhash64("b", F.lit(turn), F.pmod(F.xxhash64("uid", F.lit(turn)), F.col("parts")))
+    cells = F.when(F.col("parts") > 1, F.array(deal(0), deal(1))).when(F.col("parts") == 1, F.array(deal(0))).otherwise(F.array("g"))
+    dealt = group.join(homes, "b", "left").select("uid", cells.alias("cells"), "big")
+    keys = dealt.join(first, "uid").select("k", "cells", "big")
+    # the used texts grow with the corpus: the same shuffled join at every size
+    sets = kept(shingle_sets(texts.join(keys.hint("merge"), "k").select("uid", "text", "cells", "big"), counted).dropDuplicates(["uid"]), "sets")
+    rows = sets.select(F.explode("cells").alias("c"), F.col("uid").alias("label"), "big", "shingles")
+    links = kept(compared(rows, threshold), "links")
+    done = links.where("not big").select(F.col("y").alias("uid"), F.col("x").alias("root"))
+    rest = group.where("big").select("uid", "g", "w")
+    if rest.isEmpty():
+        out = done
+    else:
+        label = kept(_roots(rest, components(links.where("big").select("x", "y")), "label"), "label")
+        cells = left_over(label, shared, chunk)
+        rows = cells.join(sets.where("big").select("uid", "shingles"), "uid").select("c", "label", F.lit(True).alias("big"), "shingles")
+        more = components(kept(compared(rows, threshold).select("x", "y"), "links")).select(F.col("uid").alias("label"), "root")
+        big = label.join(more, "label", "left").select("uid", F.coalesce("root", "label").alias("root"))
+        out = done.unionByName(big.where("uid <> root"))
+    out, _ = stored(out, "roots")
     drop(spark, *temp)
-    return links, path
-
+    return out
 
-def components(links: DataFrame) -> DataFrame:
-    """(uid, root) of every row that has a link: smallest uid of its component.
 
-    Labels spread to neighbours and then jump to their label's label; every round is written to the
-    shared folder.
-    """
-    spark = links.sparkSession
-    both = links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select(F.col("y").alias("u"), F.col("x").alias("v"))).distinct()
-    both, both_path = stored(both, "edges")
-    label, path = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
-    while True:
-        near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        step = label.join(near, "u").select("u", F.least("l", "m").alias("m"), F.col("l").alias("old"))
-        far = label.select(F.col("u").alias("m"), F.col("l").alias("j"))
-        nxt, next_path = stored(step.join(far, "m", "left").select("u", F.least("m", F.coalesce("j", "m")).alias("l"), "old"), "labels")
-        moved = nxt.where("l <> old").limit(1).count()
-        drop(spark, path)
-        label, path = nxt.select("u", "l"), next_path
-        if not moved:
-            break
-    drop(spark, both_path)
-    return label.select(F.col("u").alias("uid"), F.col("l").alias("root"))
+def _uid(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
 
-def _uid(text: str):
-    return F.xxhash64(F.col(text).cast("string"))
+def _found(docs: DataFrame, threshold: float, text: str, id_col: str, others: list[str], counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Written table of rows (doc_id, uid, k), and rows (uid, root, m) per text: m its first row as (no id, id, k)."""
+    # rows that agree in id, text and ``others`` are equal and share k
+    k = F.xxhash64(F.col(id_col).cast("long"), _uid(text), *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else []))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), _uid(text).alias("uid"), k.alias("k"), F.col(text).cast("string").alias("text"))
+    rows, _ = stored(keyed.select("doc_id", "uid", "k"), "ids")
+    first = rows.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("m"))
+    root = linked(keyed.select("k", "uid", "text"), first.select("uid", "m.k"), threshold=threshold, counted=counted)
+    return rows, _roots(first, root)
 
 
-def _found(docs: DataFrame, threshold: float, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (doc_id, uid) per row, and (uid, root, first, n_links) per text; uid is a 64-bit hash of the text."""
-    spark = docs.sparkSession
-    texts = docs.select(_uid(text).alias("uid"), F.col(text).cast("string").alias("text"))
-    rows, _ = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), _uid(text).alias("uid")), "ids")
-    sk, sk_path = stored(sketches(texts).select("uid", "bands").dropDuplicates(["uid"]), "sketches")
-    links, links_path = candidates(sk, texts=texts, threshold=threshold)
-    drop(spark, sk_path)
-    root = components(links)
-    degree = links.select(F.explode(F.array("x", "y")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    per_text = rows.groupBy("uid").agg(F.min("doc_id").alias("first")).join(root, "uid", "left").join(degree, "uid", "left")
-    per_text, _ = stored(per_text.select("uid", "first", F.coalesce("root", "uid").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")), "texts")
-    drop(spark, links_path)
-    return rows, per_text
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: id, class_id (smallest id of the class), n_links (verified pairs of its text kept)."""
-    rows, per_text = _found(docs, threshold, text, id_col)
+def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", counted: bool = False) -> DataFrame:
+    """One row per input row: id and class_id, the smallest id of its class."""
+    rows, per_text = _found(docs, threshold, text, id_col, [], counted)
+    per_text, _ = stored(per_text.select("uid", "root", F.col("m.doc_id").alias("first")), "texts")
     lead = per_text.groupBy("root").agg(F.min("first").alias("class_id"))
-    return rows.join(per_text.join(lead, "root").select("uid", "class_id", "n_links"), "uid").select("doc_id", "class_id", "n_links")
+    return rows.join(per_text.join(lead, "root").select("uid", "class_id"), "uid").select("doc_id", "class_id")
 
 
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest id (null ids come first), and its own columns."""
-    _, per_text = _found(docs, threshold, text, id_col)
-    lead = per_text.groupBy("root").agg(F.min(F.struct("first", "uid")).alias("m")).select(F.xxhash64("m.first", "m.uid").alias("_k"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col).cast("long"), _uid(text)))
-    return keyed.join(lead, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", counted: bool = False) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id (null ids come last), and its own columns.
+
+    Of rows of one id and text, a hash of the other columns decides.
+    """
+    others = [c for c in docs.columns if c not in (text, id_col)]
+    _, per_text = _found(docs, threshold, text, id_col, others, counted)
+    lead = per_text.groupBy("root").agg(F.min("m").alias("m")).select(F.col("m.k").alias("_k"))
+    k = F.xxhash64(F.col(id_col).cast("long"), _uid(text), *([F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else []))
+    return docs.withColumn("_k", k).join(lead, "_k", "left_semi").dropDuplicates(["_k"]).select(*docs.columns)
