@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import transactions as tx
+from ..scratch import stored
 from .registry import query
 from .relations import Relations
 
@@ -83,15 +84,7 @@ def commit_verdicts(r: Relations) -> DataFrame:
 @query()
 def commit_replay(r: Relations) -> DataFrame:
     """T5 with aborted transactions left out; a test replays it one by one."""
-    base = (r.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    import uuid
-
-    def write(df: DataFrame) -> DataFrame:
-        path = f"{base}/tidelog/replay-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return r.spark.read.schema(df.schema).parquet(path)
-
-    return tx.replay(r.ops, r.txns, write)
+    return tx.replay(r.ops, r.txns, lambda df: stored(df, "replay")[0])
 
 
 @query("SELECT lvl, count(*) FILTER (verdict = 'COMMIT') AS committed, count(*) FILTER (verdict = 'ABORT') AS aborted FROM verdict GROUP BY 1")

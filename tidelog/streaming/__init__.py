@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reads import newest
+from ..scratch import scratch
 
 
 def versions(events: DataFrame) -> DataFrame:
@@ -29,8 +28,7 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, **trigger):
 
 def replay_latest(spark: SparkSession, path: str) -> DataFrame:
     """Read a log file or folder as a stream until its end; newest version per key, tombstones included."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    out = f"{base}/tidelog/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     schema = spark.read.parquet(path).schema
     head, _, name = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
