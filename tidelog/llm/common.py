@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import drop, scratch, stored
+from ..scratch import ROWS_A_TASK, drop, scratch, stored
 
-__all__ = ["ascii_lower", "drop", "let", "scratch", "stored", "table", "thinned"]
+__all__ = ["ROWS_A_TASK", "ascii_lower", "drop", "let", "scratch", "stored", "table", "thinned"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, stored
+from .common import ROWS_A_TASK, drop, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -229,21 +229,25 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return both / (size[:, None] + size[None, :] - both) >= threshold
 
 
-def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y): each label y of a cell that verified links join to a smaller one, and the smallest, x, that it is joined to."""
-    names, of = np.unique(label, return_inverse=True)
-    a, b = np.nonzero(np.triu(similar(sets, threshold), 1))
-    a, b = of[a], of[b]
-    root = np.arange(len(names))
-    while len(a):  # smallest label of what is joined
+def smallest_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the smallest that the edges a - b join it to."""
+    root = np.arange(n)
+    while len(a):
         low = np.minimum(root[a], root[b])
         new = root.copy()
         np.minimum.at(new, root[a], low)
         np.minimum.at(new, root[b], low)
-        new = new[new]
         if (new == root).all():
             break
-        root = new[root]
+        root = new[new[root]]
+    return root
+
+
+def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): each label y of a cell that verified links join to a smaller one, and the smallest, x, that it is joined to."""
+    names, of = np.unique(label, return_inverse=True)
+    a, b = np.nonzero(np.triu(similar(sets, threshold), 1))
+    root = smallest_joined(of[a], of[b], len(names))
     far = np.nonzero(root != np.arange(len(names)))[0]
     return names[root[far]], names[far]
 
@@ -278,32 +282,49 @@ def compared(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.select("c", "label", "big", "shingles").repartition("c").sortWithinPartitions("c", "label").mapInArrow(run, "x long, y long, big boolean")
 
 
-def components(links: DataFrame, stars: DataFrame | None = None) -> DataFrame:
+def _joined_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges (x, y) become one per row: (smallest row that they join it to, row, is it new)."""
+    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    x, y = (np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in (0, 1))
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    root = smallest_joined(a, b, len(names))
+    new = np.ones(len(names), bool)
+    new[b[a == root[b]]] = False
+    far = np.nonzero(root != np.arange(len(names)))[0]
+    yield pa.record_batch([pa.array(names[root[far]]), pa.array(names[far]), pa.array(new[far])], ["x", "y", "f"])
+
+
+def components(links: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
     """(uid, root), a written table: every row of ``links`` (x, y) but the roots, and the smallest id of its component.
 
-    Each row is hung under its smallest neighbour, its other smaller neighbours too, until each has one;
-    then every row takes its parent's parent. Ids are hashes, so the rounds are few. ``stars`` are links
-    after a first such step, if the caller has made it. Every round is written to the shared folder.
+    Links are dealt by their larger end to tasks of about ``a_task`` of ``rows``, the number of links at most;
+    each task joins what it holds, until no task finds anything new. Then every row takes its parent's parent.
+    No round holds more links than the one before; every round is written to the shared folder.
     """
-    spark = (stars if links is None else links).sparkSession
-    edges = stars if stars is not None else links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    edges, path = stored(edges.distinct(), "edges")
+    spark, tasks = links.sparkSession, -(-rows // a_task) or 1
+    edges, path = links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), None
+    kind = "x long, y long, f boolean"
     while True:
-        hung = edges.withColumn("m", F.min("x").over(Window.partitionBy("y")))
-        moved = F.explode(F.when(F.col("x") == F.col("m"), F.array("y")).otherwise(F.array("y", "x")))
-        step = hung.select("m", (F.col("x") != F.col("m")).alias("f"), moved.alias("y"))
-        nxt, next_path = stored(step.groupBy(F.col("m").alias("x"), "y").agg(F.max("f").alias("f")), "edges")
-        drop(spark, path)
+        dealt = edges.coalesce(1) if tasks == 1 else edges.repartition("y").coalesce(tasks)
+        nxt, next_path = stored(dealt.mapInArrow(_joined_here, kind), "edges")
+        if path:
+            drop(spark, path)
         edges, path = nxt.select("x", "y"), next_path
+        if tasks == 1:  # all of it was in one task
+            return edges.select(F.col("y").alias("uid"), F.col("x").alias("root"))
         if nxt.where("f").isEmpty():
             break
+    edges, next_path = stored(edges.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), "edges", rows)
+    drop(spark, path)
+    path = next_path
     while True:
         up = edges.select("x").distinct().join(edges.select(F.col("y").alias("x"), F.col("x").alias("up")), "x")
-        up, up_path = stored(up, "parents")
+        up, up_path = stored(up, "parents", rows)
         if up.isEmpty():
             drop(spark, up_path)
             return edges.select(F.col("y").alias("uid"), F.col("x").alias("root"))
-        nxt, next_path = stored(edges.join(up, "x", "left").select(F.coalesce("up", "x").alias("x"), "y"), "edges")
+        nxt, next_path = stored(edges.join(up, "x", "left").select(F.coalesce("up", "x").alias("x"), "y"), "edges", rows)
         drop(spark, path, up_path)
         edges, path = nxt, next_path
 
@@ -312,21 +333,23 @@ def _roots(uids: DataFrame, comp: DataFrame, name: str = "root") -> DataFrame:
     return uids.join(comp, "uid", "left").withColumn("root", F.coalesce("root", "uid")).withColumnRenamed("root", name)
 
 
-def left_over(m: DataFrame, shared: DataFrame, chunk: int) -> DataFrame:
+def left_over(m: DataFrame, shared: DataFrame, rows: int, chunk: int) -> DataFrame:
     """Cells (c, uid, label) that settle what is open among rows m (uid, g, w, label) of large groups.
 
-    A unit is a group or a bucket. Rows outside a unit's commonest label are parts 0 .. q - 1, the others the
+    ``rows`` are those of ``shared``. A unit is a group or a bucket. Rows outside a unit's commonest label are parts 0 .. q - 1, the others the
     parts q .. q + p - 1; each part of the first kind meets every other part.
     """
+    few = lambda df: df.coalesce(-(-rows // ROWS_A_TASK) or 1)
     one = m.select(F.col("g").alias("unit"), "g", "uid", "label", "w", F.lit(True).alias("whole"))
-    each = shared.select("uid", "b").join(m, "uid").select(F.xxhash64("b").alias("unit"), "g", "uid", "label", "w", F.lit(False).alias("whole"))
+    each = few(shared.select("uid", "b").join(m, "uid")).select(F.xxhash64("b").alias("unit"), "g", "uid", "label", "w", F.lit(False).alias("whole"))
     units = one.unionByName(each)
-    sums = units.groupBy("whole", "unit", "g", "label").agg(F.sum("w").alias("w")).groupBy("whole", "unit", "g").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("load")).where("load > top.w")
+    sums = few(units.groupBy("whole", "unit", "g", "label").agg(F.sum("w").alias("w"))).groupBy("whole", "unit", "g")
+    sums = few(sums.agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("load")).where("load > top.w"))
     cost = sums.groupBy("g").agg(*[F.coalesce(F.sum(F.when(F.col("whole") == v, (F.col("load") - F.col("top.w")) * F.col("load"))), F.lit(0.0)).alias(n) for n, v in (("as_group", True), ("as_buckets", False))])
-    sums = sums.join(cost.select("g", (F.col("as_group") <= F.col("as_buckets")).alias("whole")), ["g", "whole"])
+    sums = few(sums.join(few(cost).select("g", (F.col("as_group") <= F.col("as_buckets")).alias("whole")), ["g", "whole"]))
     half = chunk / 2
     q, p = F.ceil((F.col("load") - F.col("top.w")) / half).cast("long"), F.ceil(F.col("top.w") / half).cast("long")
-    u = units.join(sums.select("whole", "unit", F.col("top.label").alias("common"), q.alias("q"), p.alias("p")), ["whole", "unit"])
+    u = few(units.join(sums.select("whole", "unit", F.col("top.label").alias("common"), q.alias("q"), p.alias("p")), ["whole", "unit"]))
     u = u.withColumn("part", F.when(F.col("label") == F.col("common"), F.col("q") + F.pmod(F.xxhash64("uid", "unit"), F.col("p"))).otherwise(F.pmod(F.xxhash64("uid", "unit"), F.col("q"))))
     others = F.when(F.col("part") < F.col("q"), F.col("q") + F.col("p")).otherwise(F.col("q"))
     u = u.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
@@ -342,23 +365,24 @@ def linked(texts: DataFrame, first: DataFrame, chunk: int = CHUNK, threshold: fl
     spark = texts.sparkSession
     temp: list[str] = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        out, path = stored(df, name)
+    def kept(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        out, path = stored(df, name, rows)
         temp.append(path)
         return out
 
     sk = kept(sketches(texts.select("uid", "text"), counted).dropDuplicates(["uid"]), "sketches")
     members = sk.select("uid", F.greatest(F.lit(1.0), F.col("size") / HEAVY).alias("w"), F.explode("bands").alias("b"))
     sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("x")).where("n > 1")
-    shared = kept(members.join(kept(sizes, "buckets"), "b"), "shared")
+    shared = kept(members.join(sizes, "b"), "shared", BANDS * sk.count())
+    n = shared.count()
     used = kept(
         shared.groupBy("uid").agg(F.first("w").alias("w"), F.collect_set("x").alias("xs"), F.max(F.struct("n", "b")).alias("home"))  # at most BANDS
-        .select("uid", "w", F.col("home.b").alias("b"), "xs", F.array_min("xs").alias("m")), "used",
+        .select("uid", "w", F.col("home.b").alias("b"), "xs", F.array_min("xs").alias("m")), "used", n,
     )
     stars = used.select(F.col("m").alias("x"), F.explode(F.array_union("xs", F.array("uid"))).alias("y")).where("x <> y")
-    group = _roots(used.select("uid", "w", "b"), components(None, stars), "g")
+    group = _roots(used.select("uid", "w", "b"), components(stars, n), "g")
     load = group.groupBy("g").agg(F.sum("w").alias("load"))
-    group = kept(group.join(load, "g").withColumn("big", F.col("load") > chunk), "groups")
+    group = kept(group.join(load, "g").withColumn("big", F.col("load") > chunk), "groups", n)
     homes = group.where("big").groupBy("b").agg(F.ceil(F.sum("w") / chunk).cast("long").alias("parts"))
     deal = lambda turn: F.xxhash64("b", F.lit(turn), F.pmod(F.xxhash64("uid", F.lit(turn)), F.col("parts")))
     cells = F.when(F.col("parts") > 1, F.array(deal(0), deal(1))).when(F.col("parts") == 1, F.array(deal(0))).otherwise(F.array("g"))
@@ -373,13 +397,13 @@ def linked(texts: DataFrame, first: DataFrame, chunk: int = CHUNK, threshold: fl
     if rest.isEmpty():
         out = done
     else:
-        label = kept(_roots(rest, components(links.where("big").select("x", "y")), "label"), "label")
-        cells = left_over(label, shared, chunk)
+        label = kept(_roots(rest, components(links.where("big").select("x", "y"), n), "label"), "label", n)
+        cells = left_over(label, shared, n, chunk)
         rows = cells.join(sets.where("big").select("uid", "shingles"), "uid").select("c", "label", F.lit(True).alias("big"), "shingles")
-        more = components(kept(compared(rows, threshold).select("x", "y"), "links")).select(F.col("uid").alias("label"), "root")
+        more = components(kept(compared(rows, threshold).select("x", "y"), "links"), n).select(F.col("uid").alias("label"), "root")
         big = label.join(more, "label", "left").select("uid", F.coalesce("root", "label").alias("root"))
         out = done.unionByName(big.where("uid <> root"))
-    out, _ = stored(out, "roots")
+    out, _ = stored(out, "roots", n)
     drop(spark, *temp)
     return out
 
