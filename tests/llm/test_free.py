@@ -1,5 +1,6 @@
 """The other operators against brute force, exact round trips or held-out accuracy."""
 
+import math
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import language_id, mixing, near_dedup, packing, queries, token_counts, tokens, topk_search
+from tidelog.llm.common import stored
 
 
 def slow_ids(text, tok=[]):
@@ -85,37 +87,52 @@ def test_bounds_and_best_fit():
 
 
 def brute_topk(rows, k=5):
-    ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    """Every row that is a query against every other row, in whole numbers."""
+    rows = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ok:
-        if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(ok[q], ok[c], strict=False)), c) for c in ok if c != q)[:k]
-            out += [(q, r + 1, c, -v) for r, (v, c) in enumerate(s)]
-    return sorted(out)
+    for n, (i, a) in enumerate(rows):
+        if i is None or i % 50:
+            continue
+        found = [(sum(x * y for x, y in zip(a, b, strict=False)), j) for m, (j, b) in enumerate(rows) if m != n]
+        found.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0))
+        out += [(i, rank + 1, j, s) for rank, (s, j) in enumerate(found[:k])]
+    return sorted(out, key=repr)
 
 
 def test_topk(spark, sf):
     emb = spark.read.parquet(f"{sf}/embeddings.parquet")
     rng = np.random.default_rng(3)
     same = rng.normal(size=8).tolist()
-    odd = [(None, same), (0, same), (1, None), (2, [None, 1.0]), (3, [float("nan")] * 8), (4, [float("inf")] * 8), (5, []), (6, [1.0]), *[(i, same) for i in range(7, 30)], *[(i, rng.normal(size=8).tolist()) for i in range(30, 400)], (50, None), (7, same)]
+    odd = [(None, same), (0, same), (0, same), (1, None), (2, [None, 1.0]), (3, [float("nan")] * 8), (4, [float("inf")] * 8), (5, []), (6, [1.0]), *[(i, same) for i in range(7, 30)], *[(i, rng.normal(size=8).tolist()) for i in range(30, 400)], (50, None), (7, same), (50, same), (None, [9.0] * 8)]
     small = spark.createDataFrame([(i, v, 1) for i, v in odd], "vec_id long, embedding array<double>, rank int")
-    for df in (emb, small):
+    # scores far above 2^53 that differ in their last bits only
+    wide = spark.createDataFrame([(0, [2.0**20, 2.0**20, 1 / 256]), *[(i, [2.0**20, 2.0**20 - (i % 7), i / 256]) for i in range(1, 300)]], "vec_id long, embedding array<double>")
+    for df in (emb, small, wide):
         rows = [(r.vec_id, r.embedding) for r in df.collect()]
-        v = topk_search.quantized(df)
-        got = sorted(tuple(r) for r in topk_search.topk(v, v.where("vec_id % 50 = 0"), 5, block=4).collect())
+        v, _ = stored(topk_search.quantized(df), "vectors")
+        got = sorted((tuple(r) for r in topk_search.topk(v, v.where("vec_id % 50 = 0"), 5, block=4, slice_rows=100).collect()), key=repr)
         assert got == brute_topk(rows)
-    assert topk_search.topk(topk_search.quantized(small.limit(0)), topk_search.quantized(small.limit(0))).count() == 0
+    empty, _ = stored(topk_search.quantized(small.limit(0)), "vectors")
+    assert topk_search.topk(empty, empty).count() == 0
+
+
+def test_topk_beyond_64_bits(spark):
+    far = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [1e300, 5.0]), (3, [-1e300, 0.0]), (4, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    v, _ = stored(topk_search.quantized(far), "vectors")
+    top = 2**63 - 1
+    assert [tuple(r)[2:] for r in topk_search.topk(v, v.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(1, top), (2, top), (4, 512 * 256), (3, -(2**63))]
 
 
 def test_branch_and_bound_prunes_exactly():
     rng = np.random.default_rng(5)
-    q, c = np.floor(rng.normal(size=(7, 64)) * 256), np.floor(rng.normal(size=(3000, 64)) * 256 * np.linspace(3, 0.01, 64))
-    ids = rng.permutation(3000)
-    r, i, s = topk_search.branch_and_bound(q, np.arange(-7, 0), ((ids[a : a + 100], c[a : a + 100]) for a in range(0, 3000, 100)), 5)
+    q, c = np.floor(rng.normal(size=(7, 64)) * 256).astype(np.int64), np.floor(rng.normal(size=(3000, 64)) * 256 * np.linspace(3, 0.01, 64)).astype(np.int64)
+    ids, work = rng.permutation(3000), []
+    batches = ((np.arange(a, a + 100), ids[a : a + 100], np.zeros(100, bool), c[a : a + 100]) for a in range(0, 3000, 100))
+    best = topk_search.branch_and_bound(q, np.arange(-7, 0), batches, 5, work)
     for k in range(7):
         want = sorted(zip(-(c @ q[k]), ids, strict=True))[:5]
-        assert [(-x, y) for x, y in want] == list(zip(s[r == k], i[r == k], strict=True))
+        assert [(-x, y) for x, y in want] == list(zip(best.score[k], best.id[k], strict=True))
+    assert 0 < sum(work) < 0.1 * 7 * 3000 * (64 - topk_search.DIMS)  # most pairs are cut before their last block
 
 
 def test_language(spark, odd, none):
@@ -167,7 +184,8 @@ def brute_groups(rows, threshold=0.8, counted=False):
     sets = {t: set(near_dedup.shingles(t, near_dedup._Hashes(), counted).tolist()) for t in texts}
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if small and small >= threshold * large and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     group = defaultdict(list)
     for d, t in rows:
@@ -208,6 +226,21 @@ def test_near_duplicates(spark, odd, none):
     assert near_dedup.one_of_each(odd).where("doc_id = 3").count() == 1
 
 
+def test_components_in_several_tasks(spark):
+    rng = np.random.default_rng(8)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(0, 3000, (2000, 2))] + [(7000 + i, 7001 + i) for i in range(300)]
+    links = spark.createDataFrame(pairs, "x long, y long")
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for x, y in pairs:
+        a, b = find(x), find(y)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    for a_task in (10, 10_000):
+        got = near_dedup.components(links, len(pairs), a_task).collect()
+        assert len(got) == len(want) and {r.uid: r.root for r in got} == want
+
+
 def test_large_buckets_meet_again(spark):
     rng = np.random.default_rng(4)
     base = ["w%d" % i for i in rng.integers(0, 900, 200)]

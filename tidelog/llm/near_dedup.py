@@ -232,15 +232,15 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def smallest_joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Of each of n nodes the smallest that the edges a - b join it to."""
     root = np.arange(n)
-    while len(a):
+    while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
         np.minimum.at(new, root[a], low)
         np.minimum.at(new, root[b], low)
         if (new == root).all():
-            break
-        root = new[new[root]]
-    return root
+            return root
+        while not (root == new).all():  # each to its root's root, until all are roots
+            root, new = new, new[new]
 
 
 def cell_links(label: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
