@@ -98,30 +98,57 @@ def brute_license(t):
 
 
 def brute_blocks(t, threshold=0.8):
-    t, found = t or "", {}
+    """Best template of every block: {label: containment}."""
     words = lambda s: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower()))
-    for block in re.split(r"\n|(?<=[.!?;])\s", t):
-        for k, v in license_scan.TEMPLATES.items():
-            c = len(words(block) & words(v)) / len(words(v))
-            if c >= threshold - 1e-9:
-                found[k] = max(c, found.get(k, 0))
-    return found
+    listed = [(k, words(v)) for k, v in license_scan.templates_listed()]
+    out = {}
+    for block in re.split(r"\x01|\n[ \t\n\x0B\f\r*#/]*\n|(?<=[.!?;])[ \t\n\x0B\f\r]", t or ""):
+        b = words(block)
+        fit = [(len(b & w) / len(w), len(w), k) for k, w in listed if len(b & w) >= threshold * len(w) - 1e-9]
+        if fit:
+            c, _, k = max(fit)
+            out[k] = max(c, out.get(k, 0))
+    return out
+
+
+WRAPPED = """/*
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * This file is
+ * licensed under the Apache
+ * License, Version 2.0.
+ */"""
 
 
 def test_license(spark, sf, odd, none):
-    more = [(200, "x CC-BY cc by. General public\nLICENSE all rights reserved"), (201, "Redistribution and use in source or binary forms, with or without modification, are allowed; permitted"), (202, "Released under the license")]
-    docs = texts(spark, sf, odd).unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    order = license_scan.global_order(docs)
-    n = 0
-    for r in license_scan.scan(docs, order).collect():
+    more = [
+        (200, "x CC-BY cc by. General public\nLICENSE all rights reserved"), (201, "Redistribution and use in source or binary forms, with or without modification, are allowed; permitted"),
+        (202, "Released under the license"), (203, WRAPPED), (204, "This work is licensed under the GNU General Public License, version 3."), (205, "Licensed under CC BY 4.0. " * 3000), (206, "Licensed under CC BY-NC 4.0"),
+        (207, "available\x01under the\x00MIT license;\nreleased under the mit license"),
+    ]
+    docs = texts(spark, sf, odd).unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({"label": F.lit(1), "word": F.lit("x"), "_id": F.lit(2), "n": F.lit(0)})
+    idx = license_scan.index(docs, license_scan.default_templates(spark))
+    n, by = 0, {}
+    for r in license_scan.scan(docs, idx, carry=("doc_id", "text", "label", "word", "_id", "n")).collect():
         base = brute_license(r.text)
-        assert (r._l_n_words, r._l_n_base, r._l_first_word, r._l_last_word, r._l_base_labels) == base, r.text[:200]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base, r.text[:200]
         hits = brute_blocks(r.text)
-        assert r._l_labels == ",".join(sorted({*filter(None, base[4].split(",")), *hits}))
-        assert r._l_score == pytest.approx(1.0 if base[4] else max(hits.values(), default=0.0))
+        assert r.labels == ",".join(sorted({*filter(None, base[4].split(",")), *hits})), r.text[:200]
+        assert r.score == pytest.approx(1.0 if base[4] else max(hits.values(), default=0.0))
         n += bool(hits)
-    assert n > 3
-    assert license_scan.scan(none, license_scan.global_order(none)).count() == 0
+        by[r.doc_id] = r.labels
+    assert n > 3 and len(by) == docs.select("doc_id").distinct().count()
+    assert (by[203], by[204], by[205], by[206]) == ("apache-2.0,bsd", "gpl,gpl-3", "cc-by", "cc-by,cc-by-nc")
+    assert license_scan.scan(none, license_scan.index(none, license_scan.default_templates(spark))).count() == 0
+
+
+def test_license_templates_are_a_table(spark):
+    docs = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} and the rest") for i in range(50)], "doc_id long, text string")
+    many = spark.range(20_000).select(F.concat(F.lit("t"), "id").alias("label"), F.concat_ws(" ", *[F.concat(F.lit(w), "id") for w in ("alpha", "beta", "gamma", "delta", "epsilon")]).alias("text"))
+    got = license_scan.scan(docs, license_scan.index(docs, many)).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: f"t{i}" for i in range(50)}
 
 
 def brute_url(u, rules=url_filter.RULES):

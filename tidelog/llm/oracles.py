@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import license_scan, quality_rules, url_filter
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -54,8 +56,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, coalesce(score, 0) AS sc
 
 
 def _op5() -> str:
-    words = license_scan.template_words(license_scan.TEMPLATES)
-    t = ", ".join(f"('{k}', {ws!r})" for k, ws in words.items())
+    words = [(k, sorted({w for w in re.split(license_scan.BREAK, v.lower()) if w})) for k, v in license_scan.templates_listed()]
+    t = ", ".join(f"('{k}', {ws!r})" for k, ws in words)
     b = ", ".join(f"('{k}', {v.split()!r})" for k, v in license_scan.BASE.items())
     cut = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
@@ -64,11 +66,13 @@ WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text,
 base(label, phrase) AS (VALUES {b}), tpl(label, ws) AS (VALUES {t}),
 pos AS (SELECT i, label, unnest(list_filter(range(len(w)), lambda j: w[j + 1 : j + len(phrase)] = phrase)) AS j FROM d, base),
 hits AS (SELECT i, count(*) AS n, min(j) AS a, max(j) AS z, list_distinct(list(label)) AS ls FROM pos GROUP BY 1),
-blk AS (SELECT i, list_distinct(regexp_extract_all(lower(x), '{cut}')) AS ws FROM (
-  SELECT i, unnest(string_split_regex(regexp_replace(text, '([.!?;])[ \t\n\f\r\x0B]', '\1' || chr(10), 'g'), '\n')) AS x FROM d)),
-m AS (SELECT i, label, max(len(list_intersect(blk.ws, tpl.ws)) / len(tpl.ws)) AS c FROM blk, tpl
-  WHERE len(list_intersect(blk.ws, tpl.ws)) >= ceil(0.8 * len(tpl.ws) - 1e-9) GROUP BY ALL),
-g AS (SELECT i, list(label) AS ls, max(c) AS c FROM m GROUP BY 1)
+blk AS (SELECT row_number() OVER () AS k, i, list_distinct(regexp_extract_all(lower(x), '{cut}')) AS ws FROM (
+  SELECT i, unnest(string_split(regexp_replace(regexp_replace(text, '\n[ \t\n\x0B\f\r*#/]*\n', chr(1), 'g'), '([.!?;])[ \t\n\x0B\f\r]', '\1' || chr(1), 'g'), chr(1))) AS x FROM d)),
+near AS (SELECT DISTINCT k, i, blk.ws FROM (SELECT k, i, ws, unnest(ws) AS x FROM blk) blk JOIN (SELECT DISTINCT unnest(ws) AS x FROM tpl) USING (x)),
+m AS (SELECT k, i, label, len(tpl.ws) AS size, len(list_intersect(near.ws, tpl.ws)) / len(tpl.ws) AS c FROM near, tpl
+  WHERE len(list_intersect(near.ws, tpl.ws)) >= ceil(0.8 * len(tpl.ws) - 1e-9)),
+best AS (SELECT i, label, c FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY c DESC, size DESC, label DESC) = 1),
+g AS (SELECT i, list(label) AS ls, max(c) AS c FROM best GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(hits.ls), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(hits.ls, []), coalesce(g.ls, [])))), ',') AS labels,

@@ -31,8 +31,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = license_scan.scan(docs, license_scan.global_order(docs))
-    return got.select("doc_id", *[F.col(f"_l_{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+    return license_scan.scan(docs, license_scan.index(docs, license_scan.default_templates(spark)))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
