@@ -101,9 +101,12 @@ def brute_blocks(t, threshold=0.8):
     """Best template of every block: {label: containment}."""
     words = lambda s: set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s.lower()))
     listed = [(k, words(v)) for k, v in license_scan.templates_listed()]
+    rare = set().union(*(w for _, w in listed)) - {"the", "and", "of", "to", "a", "in", "is", "this", "or", "on"}  # no template is four fifths of these
     out = {}
-    for block in re.split(r"\x01|\n[ \t\n\x0B\f\r*#/]*\n|(?<=[.!?;])[ \t\n\x0B\f\r]", t or ""):
+    for block in re.split(r"\x01|\n[ \t\n\x0B\f\r*#/]*\n|[.!?;][ \t\n\x0B\f\r]", t or ""):
         b = words(block)
+        if not b & rare:
+            continue
         fit = [(len(b & w) / len(w), len(w), k) for k, w in listed if len(b & w) >= threshold * len(w) - 1e-9]
         if fit:
             c, _, k = max(fit)

@@ -24,12 +24,10 @@ from .common import let, stored
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WS = r"[ \t\n\x0B\f\r]"
-#: Where blocks end: blank lines, and spaces after a sentence.
-CUT = rf"\x01|\n[ \t\n\x0B\f\r*#/]*\n|(?<=[.!?;]){WS}"
+#: Where blocks end: blank lines, sentence marks before a space, and the character that stands for either.
+CUT = rf"(?=[.!?;\n\x01])(?:[.!?;]{WS}|\n[ \t\n\x0B\f\r*#/]*\n|\x01)"
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 THRESHOLD = 0.8
-NO_WORD = " "
-
 #: Names of licenses as notices state them; each makes the sentences of VERBS.
 NAMES = {
     "mit": ("MIT License",),
@@ -82,31 +80,38 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.split(lines, "\n")).alias("l")).select(F.split("l", "\t")[0].alias("label"), F.split("l", "\t")[1].alias("text"))
 
 
-def normal(text: Column) -> Column:
-    """Words in lower case, one space before each. Lower-casing other letters cannot make or split a phrase."""
-    return F.rtrim(F.regexp_replace(F.lower(F.concat(F.lit(" "), text)), BREAK, " "))
+def lowered(text: Column) -> Column:
+    """Lower-casing other letters than A-Z cannot make or split a phrase."""
+    return F.lower(F.concat(F.lit(" "), F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text and an empty one."""
+    return F.split(F.regexp_replace(lowered(text), BREAK, " "), " ")
 
 
 def blocks(text: Column) -> Column:
-    """The normal form of every block of a text; joined they are that of the text."""
-    return F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), CUT), normal)
+    """A text's words with a space before each and \x01 after each block."""
+    t = F.regexp_replace(F.regexp_replace(lowered(text), CUT, "\x01"), r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    t = F.replace(F.replace(t, F.lit(" \x01"), F.lit("\x01")), F.lit("\x01 "), F.lit("\x01"))
+    return F.rtrim(F.regexp_replace(t, "\x01+", "\x01 "))
 
 
 def index(docs: DataFrame, templates: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Written table (word, pos, need, size, ws, label): the prefix of every template (label, text).
 
-    A row of no template, NO_WORD, is joined by one token of every document.
+    A row of no template and the empty word is joined by one token of every document.
     """
-    t = templates.select("label", F.array_remove(F.array_distinct(F.split(normal(F.col("text")), " ")), "").alias("ws")).where(F.size("ws") > 0).distinct()
+    t = templates.select("label", F.array_remove(F.array_distinct(words_of(F.col("text"))), "").alias("ws")).where(F.size("ws") > 0).distinct()
     t = t.select("label", F.explode("ws").alias("word"), F.col("ws").alias("of"))
-    seen = docs.select(F.explode(F.split(F.concat_ws("", blocks(F.col(text))), " ")).alias("word"))
+    seen = docs.select(F.explode(words_of(F.col(text))).alias("word"))
     seen = seen.join(t.select("word").distinct(), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ranked = t.join(seen, "word", "left").groupBy("label", "of").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("r"))
     ranked = ranked.select("label", F.transform("r", lambda x: x["word"]).alias("ws"), F.size("r").alias("size"))
     need = F.ceil(F.lit(threshold) * F.col("size") - 1e-9).cast("int")
     prefix = ranked.withColumn("need", need).select("label", "ws", "size", "need", F.posexplode(F.slice("ws", F.lit(1), F.col("size") - F.col("need") + 1)).alias("pos", "word"))
     none = templates.sparkSession.range(1).select(
-        F.lit(NO_WORD).alias("word"), F.lit(0).alias("pos"), F.lit(0).alias("need"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("string").alias("label")
+        F.lit("").alias("word"), F.lit(0).alias("pos"), F.lit(0).alias("need"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("ws"), F.lit(None).cast("string").alias("label")
     )
     return stored(prefix.select("word", "pos", "need", "size", "ws", "label").unionByName(none), "templates", 1)[0]
 
@@ -136,13 +141,14 @@ def scan(docs: DataFrame, templates: DataFrame, text: str = "text", carry: tuple
     ``templates`` is what index() gives. One pass over the texts; only ids, counts and matches are shuffled.
     """
     keep = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]
-    d = docs.select(*keep, blocks(F.col(text)).alias("bs"))
-    d = d.select(*[f"_c{i}" for i in range(len(carry))], "bs", F.concat(F.array_join("bs", ""), F.lit(" ")).alias("n"), F.monotonically_increasing_id().alias("_id"))
+    d = docs.select(*keep, blocks(F.col(text)).alias("bs"), F.monotonically_increasing_id().alias("_id"))
+    d = d.withColumn("n", F.concat(F.replace("bs", F.lit("\x01"), F.lit("")), F.lit(" ")))
     whole = [*[f"_c{i}" for i in range(len(carry))], "_id", "n_words", "n_base", "first_word", "last_word", "b"]
-    words = F.concat(F.transform(F.filter("bs", lambda x: x != ""), lambda x: F.array_distinct(F.split(x, " "))), F.array(F.array(F.lit(NO_WORD))))
-    d = d.select(*whole[: len(carry) + 1], *_base(F.col("n")), F.posexplode(words).alias("block", "ws_b"))
+    d = d.select(*whole[: len(carry) + 1], *_base(F.col("n")), F.split(F.concat(F.lit("\x01"), "bs"), "\x01").alias("bs"))  # beside a generator they would be computed per block
+    d = d.select(*whole, F.posexplode("bs").alias("block", "t")).where("block = 0 or t <> ''")
+    d = d.select(*whole, "block", F.array_distinct(F.split(F.ltrim("t"), " ")).alias("ws_b"))
     hit = d.select(*whole, "block", "ws_b", F.explode("ws_b").alias("word")).join(templates, "word")
-    size_b = F.size("ws_b") - 1  # a block's first "word" is the empty one
+    size_b = F.size("ws_b")
     left = (size_b >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")) & ~F.arrays_overlap(F.slice("ws", F.lit(1), F.col("pos")), F.col("ws_b"))
     shared = F.when(F.col("label").isNull(), F.lit(0)).when(left, F.size(F.array_intersect("ws", "ws_b"))).otherwise(F.lit(-1))
     hit = hit.select(*whole, "block", "size", "label", "need", shared.alias("shared")).where("shared >= need")
