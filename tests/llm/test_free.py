@@ -166,6 +166,24 @@ def test_mixing(spark, odd, none):
         assert m.count() == d.count() and m.where("rate is null or rate < 0").count() == 0
 
 
+def test_rates_are_a_least_squares_solution():
+    rng = np.random.default_rng(1)
+    # the last two cannot be met, so the end is only neared
+    for share, near in (([0.9, 0.04, 0.06], 1e-4), ([0.7, 0.2, 0.1], 1e-4), ([0.5, 0.5, 0.0], 5e-3), ([1.0, 0.0, 0.0], 5e-3)):
+        p = rng.dirichlet([4, 0.4, 0.4], 300)
+        n = rng.integers(1, 900, 300)
+        mass, share = p * n[:, None], np.array(share)
+        r, error = mixing.projected_gradient(mass, share, tolerance=0.0)
+        assert (r >= 0).all() and np.allclose(error, r @ mass / mass.sum() - share)
+        g = p @ error  # at a minimum no allowed change lowers the squared error
+        assert (g > -near).all() and np.abs(n * r * g).sum() / n.sum() < near
+        # no random change of a solution, nor any single rate's best change, is better
+        best = (error**2).sum()
+        for _ in range(200):
+            x = np.maximum(0, r + rng.normal(size=300) * 0.05)
+            assert ((x @ mass / mass.sum() - share) ** 2).sum() >= best - near
+
+
 def jaccard(a, b):
     a, b = (set(near_dedup.shingles(x, near_dedup._Hashes()).tolist()) for x in (a, b))
     return len(a & b) / len(a | b) if a or b else 0.0

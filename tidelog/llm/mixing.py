@@ -2,10 +2,10 @@
 
 A classifier trained on a labelled table gives every document a posterior over domains. Nonnegative
 document rates r are fitted so that the expected tokens per domain, sum(r * tokens * posterior), match
-targets: least squares by projected gradient, starting at r = 1. In the token-weighted metric the
-gradient of a document depends on its posterior only, so a rate is a function of the posterior and of
-the short list of past gradients: an iteration is one aggregate that returns one number per domain,
-and no state is kept on executors.
+targets: least squares by projected gradient (with momentum) from r = 1, in the token-weighted metric. Documents are
+counted by cells of a grid over posteriors: tokens and exact expected tokens per domain are summed per
+cell across the cluster, the bounded table of cells is fitted, and every document takes its cell's rate,
+so what the fit reports is true of the documents themselves. Tokens are ids of the public tokenizer.
 
 Defined results: a null or empty text has no tokens and rate 1; no usable labels give every document
 the same posterior over the given domains; targets are scaled to the corpus total; an empty table
@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import drop, stored, thinned
+from .common import stored, thinned
+from .tokens import default_path, encoder
 
 #: Bound of the labelled sample, of the vocabulary and of words taken per document for training.
 SAMPLE, VOCAB = 3000, 50_000
-STEPS, TOLERANCE = 40, 1e-3
-#: Posteriors are whole multiples of 1 / GRID, so the fit runs over a table of bounded size.
+#: The fit ends where the largest error is this part of the smallest target, or after so many steps.
+STEPS, TOLERANCE = 20_000, 1e-3
+#: Cells are posteriors in whole multiples of 1 / GRID: at most (GRID + 1)(GRID + 2) / 2 for three domains.
 GRID = 256
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
@@ -50,9 +52,14 @@ class Classifier:
         at = [i for i in map(self.vocab.get, set(words)) if i is not None]
         s = self.bias + (self.weights[at].sum(axis=0) if at else 0.0)
         p = np.exp(s - s.max())
-        q = np.floor(p / p.sum() * GRID)
-        q[q.argmax()] += GRID - q.sum()
-        return q / GRID
+        return p / p.sum()
+
+    def cell(self, p: np.ndarray) -> int:
+        """The grid cell of a posterior as one number."""
+        at = 0
+        for x in np.floor(p[:-1] * GRID).astype(int).tolist():
+            at = at * (GRID + 1) + x
+        return at
 
 
 def train(rows: list[tuple[str, str]], domains=DOMAINS, steps: int = 80) -> Classifier:
@@ -106,71 +113,59 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return train([(r.text, r.domain) for r in got])
 
 
-def memberships(docs: DataFrame, model: Classifier, text: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """Columns ``carry`` with ``<prefix>tokens`` and ``<prefix>p`` (array<double>): words and domain posterior of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def memberships(docs: DataFrame, model: Classifier, text: str = "text", carry: tuple[str, ...] = ("doc_id",), prefix: str = "", path: str | None = None) -> DataFrame:
+    """Columns ``carry`` with ``<prefix>tokens``, ``<prefix>p`` (array<double>) and ``<prefix>cell`` of every whole text."""
+    sent, path = docs.sparkSession.sparkContext.broadcast(model), path or default_path()
     n = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, ids = sent.value, encoder(path).ids
         for b in batches:
-            count, p = [], []
+            count, p, cell = [], [], []
             for t in b.column(n):
-                words = (t.as_py() or "").lower().split()
-                count.append(len(words))
-                p.append(m.posterior(words))
-            made = [pa.array(count, pa.int64()), pa.array(p, pa.list_(pa.float64()))]
-            yield pa.record_batch([*b.columns[:n], *made], [*b.schema.names[:n], f"{prefix}tokens", f"{prefix}p"])
+                t = t.as_py() or ""
+                count.append(len(ids(t)))
+                p.append(m.posterior(t.lower().split()))
+                cell.append(m.cell(p[-1]))
+            made = [pa.array(count, pa.int64()), pa.array(p, pa.list_(pa.float64())), pa.array(cell, pa.int64())]
+            yield pa.record_batch([*b.columns[:n], *made], [*b.schema.names[:n], f"{prefix}tokens", f"{prefix}p", f"{prefix}cell"])
 
     kept = docs.select(*carry)
-    schema = StructType([*kept.schema.fields, StructField(f"{prefix}tokens", LongType()), StructField(f"{prefix}p", ArrayType(DoubleType()))])
+    schema = StructType([*kept.schema.fields, StructField(f"{prefix}tokens", LongType()), StructField(f"{prefix}p", ArrayType(DoubleType())), StructField(f"{prefix}cell", LongType())])
     return docs.select(*carry, F.col(text).cast("string").alias("_m_text")).mapInArrow(run, schema)
 
 
-def rate_column(history: list[list[float]], p: str = "p") -> Column:
-    """The rate after the gradients so far: r <- max(0, r - g . p), from r = 1, folded over the history."""
-    if not history:
-        return F.lit(1.0)
-    k = len(history[0])
-    steps = F.split(F.lit(",".join(repr(float(v)) for g in history for v in g)), ",").cast("array<double>")
-    dot = lambda i: sum((F.get(steps, i * k + j) * F.col(p)[j] for j in range(1, k)), F.get(steps, i * k) * F.col(p)[0])
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(history) - 1)), F.lit(1.0), lambda r, i: F.greatest(F.lit(0.0), r - dot(i)))
-
+def projected_gradient(mass: np.ndarray, share: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Rates r >= 0 (cells) that bring sum(r * mass) (cells x domains) to ``share`` of its total, and what each domain is off, of the total."""
+    total = mass.sum()
+    tokens = mass.sum(axis=1)
+    p = mass / tokens[:, None]
+    step = 1.0 / np.linalg.eigvalsh((p * tokens[:, None]).T @ p / total).max()
+    r, ahead, k = np.ones(len(mass)), np.ones(len(mass)), 1
+    goal = tolerance * share[share > 0].min()
+    for _ in range(steps):
+        if np.abs(r @ mass / total - share).max() <= goal:
+            break
+        new = np.maximum(0.0, ahead - step * (p @ (ahead @ mass / total - share)))
+        if tokens @ ((ahead - new) * (new - r)) > 0:  # the momentum points uphill: it starts anew
+            k = 1
+        ahead, k = new + (k - 1) / (k + 2) * (new - r), k + 1
+        r = new
+    return r, r @ mass / total - share
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=DOMAINS, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
-    """Gradient history and the relative errors at the end; ``members`` must be a written table.
 
-    Documents of one posterior move together, so they are added up first: at most one row per point of
-    the grid is left, whatever the corpus.
-    """
-    members, path = stored(members.groupBy("p").agg(F.sum("tokens").alias("tokens")), "posteriors")
-    k = len(domains)
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=DOMAINS, prefix: str = "", steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
+    """(<prefix>cell, <prefix>rate) per cell, and the relative error per domain. One aggregation; its result is bounded by the grid."""
+    k, spark = len(domains), members.sparkSession
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     share = share / share.sum()
-    n, p = F.col("tokens").cast("double"), lambda i: F.col("p")[i]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = members.agg(F.sum(n).alias("n"), *[F.sum(n * p(i) * p(j)).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    if not first.n:
-        drop(members.sparkSession, path)
-        return [], [0.0] * k
-    total = float(first.n)
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"] / total
-    step = 1.0 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
-    history: list[list[float]] = []
-    velocity = np.zeros(k)
-    error = np.ones(k)
-    for _ in range(steps):
-        r = rate_column(history)
-        row = members.select("tokens", "p", r.alias("r")).agg(*[F.coalesce(F.sum(F.col("r") * n * p(i)), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
-        error = np.array([row[f"s{i}"] for i in range(k)]) / total - share
-        if np.abs(error).max() <= tolerance * share[share > 0].min():
-            break
-        velocity = 0.6 * velocity + step * error  # heavy ball over the projected step
-        history.append(velocity.tolist())
-    drop(members.sparkSession, path)
-    return history, (error / np.maximum(share, 1e-12)).tolist()
+    n, p = F.col(f"{prefix}tokens"), F.col(f"{prefix}p")
+    cells = members.where(n > 0).groupBy(f"{prefix}cell").agg(*[F.sum(n * p[i]).alias(f"m{i}") for i in range(k)]).orderBy(f"{prefix}cell").collect()
+    schema = f"`{prefix}cell` long, `{prefix}rate` double"
+    if not cells:
+        return spark.createDataFrame([], schema), [0.0] * k
+    r, error = projected_gradient(np.array([row[1:] for row in cells], float), share, steps, tolerance)
+    return spark.createDataFrame([(c[0], float(x)) for c, x in zip(cells, r, strict=True)], schema), (error / np.maximum(share, 1e-12)).tolist()
 
 
 def mix(
@@ -179,16 +174,17 @@ def mix(
     """For every row of ``docs`` its columns ``carry``, and tokens, p and rate named with ``prefix``; and the relative errors per domain.
 
     What goes with a row is carried through the scoring, not joined back, so null and repeated ids keep
-    their own rows.
+    their own rows. The rates that are broadcast are bounded by the grid.
     """
     model = model or fit_classifier(docs, labels)
     members, _ = stored(memberships(docs, model, carry=carry, prefix=prefix), "members")
-    tokens, p = F.col(f"{prefix}tokens"), F.col(f"{prefix}p")
-    history, error = fit_rates(members.select(tokens.alias("tokens"), p.alias("p")), targets, model.domains)
-    return members.withColumn(f"{prefix}rate", F.when(tokens > 0, rate_column(history, f"{prefix}p")).otherwise(F.lit(1.0))), error
+    rates, error = fit_rates(members, targets, model.domains, prefix)
+    tokens, rate = F.col(f"{prefix}tokens"), F.col(f"{prefix}rate")
+    got = members.join(F.broadcast(rates), f"{prefix}cell", "left").withColumn(f"{prefix}rate", F.when(tokens > 0, rate).otherwise(F.lit(1.0)))
+    return got.drop(f"{prefix}cell"), error
 
 
-def copies(rate: Column, key: Column) -> Column:
+def copies(rate: Column, *key: Column) -> Column:
     """Whole copies whose expectation is the rate: the fraction is settled by a hash of ``key``."""
     whole = F.floor(rate)
-    return (whole + F.when(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30) < rate - whole, 1).otherwise(0)).cast("int")
+    return (whole + F.when(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30) < rate - whole, 1).otherwise(0)).cast("int")

@@ -11,11 +11,11 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def _op1() -> str:
     rules = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in url_filter.RULES)
-    z = url_filter.Z
+    z, alike = url_filter.Z, url_filter.ALIKE
 
     def level(name: str, key: str, source: str) -> str:
         return f"""
-{name}_a AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, 1000.0))) AS a FROM (
+{name}_a AS (SELECT greatest(1.0, least({alike}, coalesce(CASE WHEN rho > 0 THEN 1 / rho - 1 END, {alike}))) AS a FROM (
   SELECT (sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0.0) AS rho FROM {source})),
 {name}_m AS (SELECT {key}, n, k, (k + a * m) / (n + a) AS m, a FROM {source}, {name}_a)"""
 
@@ -39,7 +39,7 @@ rep AS (SELECT host, n, least(1.0, m + {z} * sqrt(m * (1 - m) / (n + a + 1))) AS
 r(rule, rh, rp, v) AS (VALUES {rules}),
 hit AS (SELECT u.host, u.path, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
   FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (u.host = rh OR ends_with(u.host, '.' || rh)) AND starts_with(u.path, rp) GROUP BY ALL)
-SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.v, CASE WHEN rep.upper < {url_filter.MIN_GOOD} THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT p.page_id, p.host, p.path, hit.rule, coalesce(hit.v, CASE WHEN rep.upper < {url_filter.RATIO} * (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM host) THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_labelled
 FROM p LEFT JOIN rep USING (host) LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path
 """

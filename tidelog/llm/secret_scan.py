@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "struct<s:int,k:int,e:int>"
@@ -37,7 +37,7 @@ _STEMS = (
 
 
 def default_samples(spark: SparkSession) -> DataFrame:
-    """Labelled samples (text, random): digests in three encodings, and composed identifiers."""
+    """Labelled samples (text, random): digests in three encodings; composed identifiers and decimal numbers."""
     rows = []
     for i in range(400):
         d = hashlib.sha256(f"sample-{i}".encode()).digest()
@@ -46,6 +46,7 @@ def default_samples(spark: SparkSession) -> DataFrame:
         rows.append(("".join(ALPHABET[b % 62] for b in e[: 24 + i % 30]), True))
         w = [_STEMS[(i * k + j) % len(_STEMS)] for j, k in enumerate((1, 7, 13, 29))]
         year = f"{2000 + i % 30}"
+        rows += [("".join(str(b % 10) for b in e[: 12 + i % 20]), False), ("".join(w[:3]).upper(), False)]
         rows += [("_".join(w), False), ("".join(x.title() for x in w), False), ("-".join([*w[:3], year]), False), ("/".join(w), False), ("".join(w), False)]
     of = lambda kind: F.split(F.lit(" ".join(t for t, random in rows if random == kind)), " ")  # noqa: E731  samples hold no space
     one = lambda kind: spark.range(1).select(F.explode(of(kind)).alias("text"), F.lit(kind).alias("random"))
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", threshold: flo
     """
     p, t = prefix, F.col(f"{prefix}t")
     out = docs.withColumn(f"{p}t", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    likely = lambda g: g.rlike("[0-9]") & g.rlike("[A-Za-z]") & (llr(g, model) > threshold)
+    likely = lambda g: llr(g, model) > threshold
     out = out.select(
         "*",
         _spans(t, ASSIGN, 0, lambda g: F.length(g) >= 6, 1).alias(f"{p}x0"),

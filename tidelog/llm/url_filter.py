@@ -3,7 +3,8 @@
 Labelled page outcomes are counted per host, registered domain and suffix. Each level is a
 beta-binomial whose prior mean is the level above; prior strengths come from the between-group
 variance (method of moments). A page whose url fits no rule is blocked where the host's posterior
-bound is confidently bad.
+upper bound is well below the mean over all hosts. Where hosts differ no more than by chance, all have
+that mean and none is blocked.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by the
 reputation of the empty host; null outcomes and null ids carry no label; repeated outcomes of an id
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-MIN_GOOD, Z = 0.5, 1.645
+#: A host is blocked where its upper bound is below this part of the mean over all hosts.
+RATIO, Z = 0.8, 1.645
+#: Groups that vary no more than chance would have it are as one: the strength is this.
+ALIKE = 1e9
 
 
 def host_of(url: Column) -> Column:
@@ -59,17 +63,17 @@ def outcomes(labels: DataFrame) -> DataFrame:
 
 
 def strength() -> Column:
-    """Aggregate: prior strength from groups (n, k, prior mean m) by the method of moments, within 1 to 1000."""
+    """Aggregate: prior strength from groups (n, k, prior mean m) by the method of moments, at least 1."""
     n, k, m = F.col("n"), F.col("k"), F.col("m")
     v = F.sum(n * m * (1 - m))
     s = F.sum((k - n * m) * (k - n * m))
     extra = F.sum(n * (n - 1) * m * (1 - m))
     rho = (s - v) / F.nullif(extra, F.lit(0.0))
-    return F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.coalesce(F.when(rho > 0, 1 / rho - 1), F.lit(1000.0))))
+    return F.greatest(F.lit(1.0), F.least(F.lit(ALIKE), F.coalesce(F.when(rho > 0, 1 / rho - 1), F.lit(ALIKE))))
 
 
 def reputation(labelled: DataFrame) -> DataFrame:
-    """(host, n, k, mean, upper) from rows (host, good); counts are combined before any shuffle.
+    """(host, n, k, mean, upper, overall) from rows (host, good); counts are combined before any shuffle.
 
     The host table is the only one that grows; it is written once and the levels above are aggregates
     of it. Only single numbers reach the driver.
@@ -87,14 +91,14 @@ def reputation(labelled: DataFrame) -> DataFrame:
     host = host.join(domain, "domain")
     a = host.agg(strength().alias("a")).first().a
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(a) + 1))
-    return host.select("host", "n", "k", mean(a).alias("mean")).withColumn("upper", F.least(F.lit(1.0), F.col("mean") + Z * sd))
+    return host.select("host", "n", "k", mean(a).alias("mean")).withColumns({"upper": F.least(F.lit(1.0), F.col("mean") + Z * sd), "overall": F.lit(total)})
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MIN_GOOD, id_col: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, ratio: float = RATIO, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, and the host's labelled count."""
     p = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     marked = p.select("page_id", "host").join(outcomes(labels).withColumnRenamed("id", "page_id"), "page_id", "left")
-    rep = reputation(marked).select("host", F.col("n").alias("n_labelled"), (F.col("upper") < min_good).alias("bad"))
+    rep = reputation(marked).select("host", F.col("n").alias("n_labelled"), (F.col("upper") < ratio * F.col("overall")).alias("bad"))
     rule, verdict = rule_columns(rules)
     return p.join(rep, "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"),
