@@ -34,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in whole copies whose expectation is their rate; one likely clean keeps at least one copy."""
     got, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, carry=tuple(docs.columns), prefix="_m_")
-    n = mixing.copies(F.col("_m_rate"), F.col("doc_id"))
+    n = mixing.copies(F.col("_m_rate"), F.col("doc_id"), F.col("text"))
     n = F.when(F.col("_m_p")[mixing.DOMAINS.index("clean")] >= 0.5, F.greatest(n, F.lit(1))).otherwise(n)
     return got.withColumn("_m_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
 
