@@ -1,13 +1,14 @@
 """Operators on small literals, and every registered SQL twin on the smallest tables."""
 
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom_bits, frame_crc, isolation_level, key_successor, nkey
-from tidelog.operators import reads, storage, transactions
+from tidelog.operators import reads, replication, storage, transactions
 from tidelog.plans import QUERIES, SQL
 from tidelog.plans.relations import Relations
 
@@ -136,3 +137,31 @@ def test_global_conflicts_across_ranges(spark):
     txns = spark.createDataFrame([(t, t * 10 - 7 * (t % 5), t * 10 + 5, 3) for t in range(1, 40)], "txn_id long, begin_seq long, commit_seq long, lvl int")
     one = sorted(map(tuple, transactions.ww_conflicts_global(ops, txns).collect()))
     assert one and sorted(map(tuple, transactions.ww_conflicts_global(ops, txns, width=15).collect())) == one
+
+
+def test_cache_ranges_agree_with_one_cache(spark):
+    rng = random.Random(6)
+    keys = [rng.randrange(1 + i // 8) for i in range(900)] + [7] * 300 + [rng.randrange(60) for _ in range(300)]
+    rows = spark.createDataFrame([(i + 5, f"k{k}") for i, k in enumerate(keys)], "seq long, key string").where("seq not between 400 and 470")
+    held, want = [], {}
+    for r in rows.orderBy("seq").collect():
+        want[r.seq] = r.key in held
+        held = [k for k in held if k != r.key][-19:] + [r.key]
+    for width in (16, 10_000):
+        assert {r.seq: r.hit for r in storage.cache_sim(rows, 20, width).collect()} == want
+    assert storage.cache_sim(rows.limit(0), 20).count() == 0
+
+
+def test_gap_locks_of_long_lives_meet(spark):
+    txns = spark.createDataFrame([(1, 0, 500), (2, 100, 130), (3, 499, 700), (4, 500, 520)], "txn_id long, begin_seq long, commit_seq long")
+    gaps = spark.createDataFrame([(1, "b", "d"), (2, "d", "e"), (3, "a", "b"), (4, "b", "c")], "txn_id long, lo string, hi string")
+    assert sorted(map(tuple, transactions.gap_conflicts(gaps, txns).collect())) == [(1, 2), (1, 3), (3, 4)]
+    writes = spark.createDataFrame([(2, "c"), (4, "a"), (3, "z")], "txn_id long, key string")
+    assert sorted(map(tuple, transactions.gap_blocked_writes(writes, gaps, txns).collect())) == [(2, "c", 1), (4, "a", 3)]
+
+
+def test_commit_index_is_of_the_current_term(spark):
+    log = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4)], "index long, term long")
+    acks = lambda *m: spark.createDataFrame([(f"n{i}", x) for i, x in enumerate(m)], "node string, match_index long")
+    of = lambda a, term: replication.commit_index(a, log, term).first().commit_index
+    assert of(acks(4, 3, 3, 1, 0), 2) == 3 and of(acks(4, 3, 3, 1, 0), 4) is None and of(acks(4, 4, 4, 1, 0), 4) == 4 and of(acks(4, 4, 1, 0), 2) is None

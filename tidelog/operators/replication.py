@@ -11,10 +11,13 @@ def winners(votes: DataFrame, nodes: int) -> DataFrame:
     return votes.groupBy("term", "candidate").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") * 2 > nodes)
 
 
-def commit_index(acks: DataFrame) -> DataFrame:
-    """The largest index that a majority of nodes holds; one row per node is read."""
-    g = acks.agg(F.sort_array(F.collect_list("match_index"), asc=False).alias("m"))
-    return g.select(F.get("m", F.floor(F.size("m") / 2).cast("int")).alias("commit_index"))
+def commit_index(acks: DataFrame, log: DataFrame, term: int) -> DataFrame:
+    """The largest index of the current term that a majority of nodes holds; null where there is none.
+
+    Entries of earlier terms are committed only together with one of the leader's own term.
+    """
+    held = acks.agg(F.sort_array(F.collect_list("match_index"), asc=False).alias("m")).select(F.get("m", F.floor(F.size("m") / 2).cast("int")).alias("i")).first().i  # one row per node
+    return log.where((F.col("term") == term) & (F.col("index") <= held)).agg(F.max("index").alias("commit_index"))
 
 
 def divergence(leader: DataFrame, follower: DataFrame) -> DataFrame:

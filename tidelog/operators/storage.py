@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom_positions, nkey, ratio, record_bytes
+from ..scratch import stored
 from .reads import newest
 
 
@@ -127,21 +132,48 @@ def may_contain(probes: DataFrame, filter_: DataFrame, bits: int, hashes: int) -
     return probes.join(hit, "key")
 
 
-def cache_sim(access: DataFrame, capacity: int) -> DataFrame:
-    """Hit flags of a least-recently-used cache of ``capacity`` keys over (seq, key).
+def cache_sim(access: DataFrame, capacity: int, width: int = 65_536) -> DataFrame:
+    """Hit flags of a least-recently-used cache of ``capacity`` keys over (seq, key); ``seq`` is unique.
 
-    A hit means that fewer than ``capacity`` distinct keys were touched since the key's last access.
-    Those are the accesses in between whose own next access is later, found by an equi-join on cells
-    of positions.
+    Accesses are cut into ranges of ``width`` positions, and each range is replayed from the cache's content
+    at its start: the ``capacity`` keys used last. Those come from every range's own last uses, merged with
+    the ranges 1, 2, 4, ... before it until all have ``capacity`` keys or no range is left to add.
     """
-    w = Window.partitionBy("key").orderBy("seq")
-    a = access.withColumns({"prev": F.lag("seq").over(w), "nxt": F.lead("seq").over(w)})
-    cell = 256
-    x = a.where("prev is not null").select("seq", "prev").withColumn("cell", F.explode(F.sequence(F.floor(F.col("prev") / cell), F.floor(F.col("seq") / cell))))
-    y = a.select(F.col("seq").alias("s2"), F.col("nxt").alias("n2"), F.floor(F.col("seq") / cell).alias("cell"))
-    mid = x.join(y, "cell").where("s2 > prev and s2 < seq and (n2 is null or n2 > seq)")
-    n = mid.groupBy("seq").agg(F.count(F.lit(1)).alias("between"))
-    return a.join(n, "seq", "left").select("seq", "key", (F.col("prev").isNotNull() & (F.coalesce("between", F.lit(0)) < capacity)).alias("hit"))
+    g = F.floor(F.col("seq") / width).cast("long")
+    rows = access.select(g.alias("g"), "seq", "key")
+    ends = rows.agg(F.min("g").alias("lo"), F.max("g").alias("hi")).first()
+
+    def newest_keys(d: DataFrame) -> DataFrame:
+        one = d.groupBy("g", "key").agg(F.max("seq").alias("seq"))
+        at = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("seq")))
+        return stored(one.withColumn("_r", at).where(F.col("_r") <= capacity).drop("_r"), "recent")[0]
+
+    recent, reach = newest_keys(rows), 1
+    while ends.lo is not None and reach <= ends.hi - ends.lo:
+        short = recent.groupBy("g").count().where((F.col("count") < capacity) & (F.col("g") - ends.lo >= reach))
+        present = recent.select("g").distinct().where(F.col("g") - ends.lo >= reach).count()
+        if short.isEmpty() and present == ends.hi - ends.lo + 1 - reach:
+            break
+        earlier = recent.withColumn("g", F.col("g") + reach).where(F.col("g") <= ends.hi)
+        recent, reach = newest_keys(recent.unionByName(earlier)), reach * 2
+    kind = access.schema["key"].dataType.simpleString()
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "seq"], kind="stable")
+        held: OrderedDict = OrderedDict()
+        hits = []
+        for key, own in zip(pdf["key"], pdf["own"], strict=True):
+            if own:
+                hits.append(key in held)
+            held[key] = None
+            held.move_to_end(key)
+            if len(held) > capacity:
+                held.popitem(last=False)
+        return pdf.loc[pdf["own"], ["seq", "key"]].assign(hit=np.array(hits, bool))
+
+    start = recent.withColumn("g", F.col("g") + 1).join(rows.select("g").distinct(), "g", "left_semi")
+    both = rows.withColumn("own", F.lit(True)).unionByName(start.withColumn("own", F.lit(False)))
+    return both.groupBy("g").applyInPandas(replay, f"seq long, key {kind}, hit boolean")
 
 
 def hit_rate(sim: DataFrame) -> DataFrame:

@@ -211,10 +211,28 @@ def write_skew(ops: DataFrame, txns: DataFrame) -> DataFrame:
     return rw.join(back, ["a", "b"], "left_semi").join(ww, ["a", "b"], "left_anti").where("a < b").select(F.col("a").alias("txn_a"), F.col("b").alias("txn_b"))
 
 
-def gap_conflicts(gaps: DataFrame, step: int = 1) -> DataFrame:
-    """Pairs of transactions whose gap locks (txn_id, lo, hi over integer ranks) overlap while both live."""
-    from .storage import overlapping
+def _cells(rows: DataFrame, p: str, *cols: str, cell: int = 64) -> DataFrame:
+    """Lives [begin_seq, commit_seq] cut into cells; columns are named with ``p``, ``<p>cell`` is a life's first."""
+    of = lambda c: F.floor(F.col(c) / cell)
+    kept = [F.col(c).alias(f"{p}{c}") for c in ("txn_id", "begin_seq", "commit_seq", *cols)]
+    return rows.select(*kept, of("begin_seq").alias(f"{p}cell"), F.explode(F.sequence(of("begin_seq"), of("commit_seq"))).alias("cell"))
 
-    rows = gaps.select(F.col("txn_id").alias("id"), "lo", "hi")
-    p = overlapping(rows, rows, step).where("a_id < b_id")
-    return p.select(F.col("a_id").alias("txn_a"), F.col("b_id").alias("txn_b"))
+
+def _live_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of different transactions that live together, each in the first cell they share; columns a_*, b_*."""
+    live = (F.col("a_txn_id") != F.col("b_txn_id")) & (F.col("a_begin_seq") < F.col("b_commit_seq")) & (F.col("b_begin_seq") < F.col("a_commit_seq"))
+    return a.join(b, "cell").where(live & (F.col("cell") == F.greatest("a_cell", "b_cell")))
+
+
+def gap_conflicts(gaps: DataFrame, txns: DataFrame) -> DataFrame:
+    """Pairs of transactions whose gap locks (txn_id, lo, hi) overlap while both live (equi-join on cells of lives)."""
+    g = gaps.join(txns.select("txn_id", "begin_seq", "commit_seq"), "txn_id")
+    p = _live_pairs(_cells(g, "a_", "lo", "hi"), _cells(g, "b_", "lo", "hi"))
+    return p.where("a_txn_id < b_txn_id and a_lo <= b_hi and b_lo <= a_hi").select(F.col("a_txn_id").alias("txn_a"), F.col("b_txn_id").alias("txn_b"))
+
+
+def gap_blocked_writes(writes: DataFrame, gaps: DataFrame, txns: DataFrame) -> DataFrame:
+    """Writes (txn_id, key) inside a gap that another transaction holds while both live."""
+    life = txns.select("txn_id", "begin_seq", "commit_seq")
+    p = _live_pairs(_cells(writes.join(life, "txn_id"), "a_", "key"), _cells(gaps.join(life, "txn_id"), "b_", "lo", "hi"))
+    return p.where("a_key between b_lo and b_hi").select(F.col("a_txn_id").alias("txn_id"), F.col("a_key").alias("key"), F.col("b_txn_id").alias("gap_owner"))

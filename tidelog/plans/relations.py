@@ -60,7 +60,7 @@ class Relations:
 
     @cached_property
     def gaps(self) -> DataFrame:
-        """Gap locks over the rank of the account, of transactions in the same block of 16 events."""
+        """Gap locks from the smallest to the largest account that a transaction touches."""
         return self.ops.groupBy("txn_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
 
     @cached_property

@@ -17,9 +17,10 @@ def election_winner(r: Relations) -> DataFrame:
     return rp.winners(r.votes, 5)
 
 
-@query("SELECT match_index AS commit_index FROM (SELECT match_index, row_number() OVER (ORDER BY match_index DESC) AS k, count(*) OVER () AS n FROM acks) WHERE k = n // 2 + 1")
+@query("""SELECT max(index) AS commit_index FROM leader WHERE term = (SELECT max(term) FROM leader)
+  AND (SELECT count(*) FROM acks WHERE match_index >= index) * 2 > (SELECT count(*) FROM acks)""")
 def raft_commit_index(r: Relations) -> DataFrame:
-    return rp.commit_index(r.acks)
+    return rp.commit_index(r.acks, r.leader, r.leader.agg(F.max("term")).first()[0])
 
 
 @query("SELECT min(CASE WHEN l.term IS DISTINCT FROM f.term THEN index END) AS first_mismatch, count(*) FILTER (l.term IS NULL) AS extra, count(*) FILTER (f.term IS NULL) AS missing FROM leader l FULL JOIN follower f USING (index)")

@@ -133,24 +133,19 @@ def lock_info(r: Relations) -> DataFrame:
     return r.locks.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.count_if(F.col("mode") == "X").alias("exclusive"), F.count_if(F.col("mode") == "S").alias("shared"))
 
 
-def _gaps(r: Relations) -> DataFrame:
-    """Gap locks on one number line: a block of transactions lives together, accounts are ranks within it."""
-    rank = lambda c: F.floor((F.col("txn_id") - 1) / 4) * 100 + F.substring(c, F.lit(6), F.lit(1)).cast("long")
-    return r.gaps.select("txn_id", rank(F.col("lo")).alias("lo"), rank(F.col("hi")).alias("hi"))
+_life = "(SELECT {} FROM {} JOIN txns t USING (txn_id))"
+_together = "a.txn_id <> b.txn_id AND a.begin_seq < b.commit_seq AND b.begin_seq < a.commit_seq"
+_g = _life.format("txn_id, lo, hi, begin_seq, commit_seq", "gaps")
 
 
-@query("SELECT a.txn_id AS txn_a, b.txn_id AS txn_b FROM gaps a JOIN gaps b ON a.txn_id < b.txn_id AND (a.txn_id - 1) // 4 = (b.txn_id - 1) // 4 AND a.lo <= b.hi AND b.lo <= a.hi")
+@query(f"SELECT a.txn_id AS txn_a, b.txn_id AS txn_b FROM {_g} a JOIN {_g} b ON a.txn_id < b.txn_id AND {_together} AND a.lo <= b.hi AND b.lo <= a.hi")
 def gap_conflicts(r: Relations) -> DataFrame:
-    return tx.gap_conflicts(_gaps(r), step=4)
+    return tx.gap_conflicts(r.gaps, r.txns)
 
 
-@query("SELECT w.txn_id, w.key, g.txn_id AS gap_owner FROM ws w JOIN gaps g ON w.txn_id <> g.txn_id AND (w.txn_id - 1) // 4 = (g.txn_id - 1) // 4 AND w.key BETWEEN g.lo AND g.hi")
+@query(f"SELECT a.txn_id, a.key, b.txn_id AS gap_owner FROM {_life.format('txn_id, key, begin_seq, commit_seq', 'ws')} a JOIN {_g} b ON {_together} AND a.key BETWEEN b.lo AND b.hi")
 def gap_blocked_writes(r: Relations) -> DataFrame:
-    """Writes inside a gap that a transaction of the same block holds (equi-join on the block)."""
-    block = lambda d: d.withColumn("block", F.floor((F.col("txn_id") - 1) / 4))
-    g = block(r.gaps).select("block", F.col("txn_id").alias("gap_owner"), "lo", "hi")
-    w = block(tx.write_sets(r.ops).select("txn_id", "key"))
-    return w.join(g, "block").where("txn_id <> gap_owner and key between lo and hi").select("txn_id", "key", "gap_owner")
+    return tx.gap_blocked_writes(tx.write_sets(r.ops).select("txn_id", "key"), r.gaps, r.txns)
 
 
 #: (held locks, request) -> granted, as the lock table decides it
