@@ -184,6 +184,24 @@ def test_rates_are_a_least_squares_solution():
             assert ((x @ mass / mass.sum() - share) ** 2).sum() >= best - near
 
 
+def test_targets_out_of_reach_move_no_rates():
+    rng = np.random.default_rng(2)
+    low, toxic = rng.uniform(0, 3e-4, 2009), np.concatenate([rng.beta(1, 200, 2000), rng.beta(12, 1, 9)])  # next to nothing of the second
+    p = np.stack([1 - low - toxic, low, toxic], axis=1).clip(1e-9)
+    n = np.concatenate([rng.choice([90, 300, 5000], 2000), np.full(9, 900)])
+    mass, share, total = p * n[:, None], np.array([0.97, 0.01, 0.02]), n.sum()
+    bad = np.arange(2009) >= 2000
+    loose, _ = mixing.projected_gradient(mass, share)
+    for least, share in ((0.0, share), (np.where(bad, 0.0, 1.0), share * 1.03)):
+        r, error = mixing.projected_gradient(mass, share, pull=mixing.PULL, least=least)
+        assert (r >= least).all() and np.abs(r[~bad] - 1).max() < 0.5 and r[bad].min() > 1
+        assert abs(error[2]) < 0.001 and error[1] < -0.0098 and n @ r < 1.04 * total
+        # the optimum of the pulled squares: a step from it goes nowhere
+        g = p @ error + mixing.PULL * (r - 1)
+        assert np.abs(np.maximum(least, r - g) - r).max() < 1e-4
+    assert loose.max() > r.max()  # without the pull, rates chase what is not there
+
+
 def jaccard(a, b):
     a, b = (set(near_dedup.shingles(x, near_dedup._Hashes()).tolist()) for x in (a, b))
     return len(a & b) / len(a | b) if a or b else 0.0

@@ -2,13 +2,15 @@
 
 A classifier trained on a labelled table gives every document a posterior over domains. Nonnegative
 document rates r are fitted so that the expected tokens per domain, sum(r * tokens * posterior), match
-targets: least squares by projected gradient (with momentum) from r = 1, in the token-weighted metric. Documents are
+targets: least squares by projected gradient (with momentum) from r = 1, in the token-weighted metric, with a slight pull
+towards r = 1: what a target cannot gain by moving rates, as that of a domain the corpus lacks, moves none. Documents are
 counted by cells of a grid over posteriors: tokens and exact expected tokens per domain are summed per
 cell across the cluster, the bounded table of cells is fitted, and every document takes its cell's rate,
 so what the fit reports is true of the documents themselves. Tokens are ids of the public tokenizer.
 
 Defined results: a null or empty text has no tokens and rate 1; no usable labels give every document
-the same posterior over the given domains; targets are scaled to the corpus total; an empty table
+the same posterior over the given domains; targets are scaled to the corpus total; those beyond reach
+are left as far off as the errors tell; an empty table
 gives no rows; ids play no part in the fit, so null and repeated ones are kept.
 """
 
@@ -29,6 +31,8 @@ from .tokens import default_path, encoder
 SAMPLE, VOCAB = 3000, 50_000
 #: The fit ends where the largest error is this part of the smallest target, or after so many steps.
 STEPS, TOLERANCE = 20_000, 1e-3
+#: Weight of the squared distance of rates from 1 beside the squared error of shares.
+PULL = 1e-5
 #: Cells are posteriors in whole multiples of 1 / GRID: at most (GRID + 1)(GRID + 2) / 2 for three domains.
 GRID = 256
 DOMAINS = ("clean", "low", "toxic")
@@ -135,27 +139,40 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", carry: t
     return docs.select(*carry, F.col(text).cast("string").alias("_m_text")).mapInArrow(run, schema)
 
 
-def projected_gradient(mass: np.ndarray, share: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Rates r >= 0 (cells) that bring sum(r * mass) (cells x domains) to ``share`` of its total, and what each domain is off, of the total."""
+def projected_gradient(
+    mass: np.ndarray, share: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, pull: float = 0.0, least: np.ndarray | float = 0.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rates r >= ``least`` (cells) that bring sum(r * mass) (cells x domains) to ``share`` of its total, and what each domain is off, of the total.
+
+    It ends where every domain is met, or where a step moves next to nothing.
+    """
     total = mass.sum()
     tokens = mass.sum(axis=1)
     p = mass / tokens[:, None]
-    step = 1.0 / np.linalg.eigvalsh((p * tokens[:, None]).T @ p / total).max()
-    r, ahead, k = np.ones(len(mass)), np.ones(len(mass)), 1
+    step = 1.0 / (np.linalg.eigvalsh((p * tokens[:, None]).T @ p / total).max() + pull)
+    r = np.maximum(least, np.ones(len(mass)))
+    ahead, k = r, 1
     goal = tolerance * share[share > 0].min()
     for _ in range(steps):
         if np.abs(r @ mass / total - share).max() <= goal:
             break
-        new = np.maximum(0.0, ahead - step * (p @ (ahead @ mass / total - share)))
+        new = np.maximum(least, ahead - step * (p @ (ahead @ mass / total - share) + pull * (ahead - 1)))
+        still = tokens @ np.abs(new - ahead) <= 1e-4 * step * pull * total
         if tokens @ ((ahead - new) * (new - r)) > 0:  # the momentum points uphill: it starts anew
             k = 1
         ahead, k = new + (k - 1) / (k + 2) * (new - r), k + 1
         r = new
+        if still:
+            break
     return r, r @ mass / total - share
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=DOMAINS, prefix: str = "", steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """(<prefix>cell, <prefix>rate) per cell, and the relative error per domain. One aggregation; its result is bounded by the grid."""
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=DOMAINS, prefix: str = "", steps: int = STEPS, tolerance: float = TOLERANCE, whole: str | None = None) -> tuple[DataFrame, list[float]]:
+    """(<prefix>cell, <prefix>rate) per cell, and the error of each domain in parts of its target. One aggregation; its result is bounded by the grid.
+
+    Documents whose posterior of the first domain is 0.5 or more get a rate of 1 at least if ``whole`` names it. Where they
+    alone exceed that domain's target, all targets grow in proportion until they do not, so shares can still be met.
+    """
     k, spark = len(domains), members.sparkSession
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     share = share / share.sum()
@@ -164,21 +181,28 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, domains=D
     schema = f"`{prefix}cell` long, `{prefix}rate` double"
     if not cells:
         return spark.createDataFrame([], schema), [0.0] * k
-    r, error = projected_gradient(np.array([row[1:] for row in cells], float), share, steps, tolerance)
+    least = np.array([float(whole == domains[0] and 2 * (c[0] // (GRID + 1) ** (k - 2)) >= GRID) for c in cells])
+    mass = np.array([row[1:] for row in cells], float)
+    if least.any() and share[0] > 0:
+        share = share * max(1.0, least @ mass[:, 0] / (share[0] * mass.sum()))
+    r, error = projected_gradient(mass, share, steps, tolerance, PULL, least)
     return spark.createDataFrame([(c[0], float(x)) for c, x in zip(cells, r, strict=True)], schema), (error / np.maximum(share, 1e-12)).tolist()
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, model: Classifier | None = None, carry: tuple[str, ...] = ("doc_id",), prefix: str = ""
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, model: Classifier | None = None, carry: tuple[str, ...] = ("doc_id",), prefix: str = "",
+    whole: str | None = None,
 ) -> tuple[DataFrame, list[float]]:
     """For every row of ``docs`` its columns ``carry``, and tokens, p and rate named with ``prefix``; and the relative errors per domain.
 
+    No document likely of the domain ``whole``, the first one, is thinned.
+
     What goes with a row is carried through the scoring, not joined back, so null and repeated ids keep
     their own rows. The rates that are broadcast are bounded by the grid.
     """
     model = model or fit_classifier(docs, labels)
     members, _ = stored(memberships(docs, model, carry=carry, prefix=prefix), "members")
-    rates, error = fit_rates(members, targets, model.domains, prefix)
+    rates, error = fit_rates(members, targets, model.domains, prefix, whole=whole)
     tokens, rate = F.col(f"{prefix}tokens"), F.col(f"{prefix}rate")
     got = members.join(F.broadcast(rates), f"{prefix}cell", "left").withColumn(f"{prefix}rate", F.when(tokens > 0, rate).otherwise(F.lit(1.0)))
     return got.drop(f"{prefix}cell"), error
