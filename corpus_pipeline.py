@@ -7,13 +7,16 @@ are never dropped); what is left is packed into sequences.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 from tidelog.llm.common import stored, table
 
-#: Shares of tokens after mixing; documents of a domain that exceeds its share are thinned.
+log = logging.getLogger("corpus_pipeline")
+#: Shares of tokens after mixing, as far as they can be had without thinning clean documents.
 TARGETS = {"clean": 0.97, "low": 0.01, "toxic": 0.02}
 
 
@@ -32,10 +35,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in whole copies whose expectation is their rate; one likely clean keeps at least one copy."""
-    got, _ = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, carry=tuple(docs.columns), prefix="_m_")
+    """Documents in whole copies whose expectation is their rate; the fit keeps rates of likely clean ones at 1 or more."""
+    got, error = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, carry=tuple(docs.columns), prefix="_m_", whole="clean")
+    log.info("mixing: errors in parts of the targets %s", dict(zip(TARGETS, error, strict=True)))
     n = mixing.copies(F.col("_m_rate"), F.col("doc_id"), F.col("text"))
-    n = F.when(F.col("_m_p")[mixing.DOMAINS.index("clean")] >= 0.5, F.greatest(n, F.lit(1))).otherwise(n)
     return got.withColumn("_m_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
 
 
