@@ -144,7 +144,7 @@ def _sets(batches: Iterator[pa.RecordBatch], counted: bool, once: bool) -> Itera
             if len(s):
                 other.append(row)
                 sets.append(s)
-                size += len(s)
+                size += len(s) + 4 * K  # the darts of a text are many, however short it is
             if size >= 200_000:
                 yield other, sets
                 other, sets, size = [], [], 0
